@@ -161,3 +161,47 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, dtype=np.int64)
     ends = np.cumsum(lengths)
     return np.arange(ends[-1]) + np.repeat(starts - (ends - lengths), lengths)
+
+
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_FOLD[[c for c in range(128) if not chr(c).isalnum()]] = 32
+
+#: What fold() does, for DuckDB's translate() and regular expressions over {text}.
+FOLDED_SQL = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ', 'abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ')"
+FOLDED_WORD = "[a-z0-9\\x{80}-\\x{10FFFF}]+"
+
+
+def fold(data: np.ndarray) -> np.ndarray:
+    """The bytes with ASCII and Latin-1 letters in lower case and all other ASCII characters but digits as blanks; lengths stay.
+
+    The words of the result are *folded words*: runs of ASCII letters, digits and characters beyond ASCII.
+    """
+    out = _FOLD[data]
+    if len(data) > 1:
+        upper = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+        out[upper] += 32
+    return out
+
+
+def pieces_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The spans of bytes as a binary array."""
+    lengths = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[ragged(starts, lengths)]))])
+
+
+def key_filter(spark, keys, limit: int) -> np.ndarray | None:
+    """The sorted values of a one-column table of 64-bit keys, if they are no more than limit; the table is stored before."""
+    if keys.count() > limit:
+        return None
+    return np.sort(keys.toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which values the sorted table has."""
+    if not len(table):
+        return np.zeros(len(values), dtype=bool)
+    at = np.searchsorted(table, values)
+    at[at == len(table)] = 0
+    return table[at] == values

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import packing, quality, sharding, toxicity
+from tidegrid.llm import packing, quality, sharding, suffixes, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
@@ -33,7 +37,8 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
+    "op7_suffixes": op7_suffixes,
     "op10_sharding": op10_sharding,
 }
 
-ORACLES = {"op10_sharding": sharding.ORACLE}
+ORACLES = {"op7_suffixes": suffixes.ORACLE, "op10_sharding": sharding.ORACLE}
