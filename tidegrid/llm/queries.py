@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import packing, quality, sharding, suffixes, toxicity
+from tidegrid.llm import jaccard, packing, quality, sharding, suffixes, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeats(table(spark, sf_dir, "documents"))
 
@@ -37,8 +41,9 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
+    "op5_jaccard": op5_jaccard,
     "op7_suffixes": op7_suffixes,
     "op10_sharding": op10_sharding,
 }
 
-ORACLES = {"op7_suffixes": suffixes.ORACLE, "op10_sharding": sharding.ORACLE}
+ORACLES = {"op5_jaccard": jaccard.ORACLE, "op7_suffixes": suffixes.ORACLE, "op10_sharding": sharding.ORACLE}
