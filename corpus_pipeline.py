@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import packing, quality, toxicity
+from tidegrid.llm import jaccard, packing, quality, suffixes, toxicity
 from tidegrid.llm.shared import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -24,6 +24,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, quality.fit(docs, labels))
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that similar n-gram sets link, the one with the least doc_id."""
+    return jaccard.one_of_each(docs)
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that stand before, in this or another document."""
+    return suffixes.without_repeats(docs)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What each training sequence holds."""
     return packing.pack(docs)
@@ -32,6 +42,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", toxicity_stage),
     ("quality", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("repeats", repeats_stage),
     ("packing", packing_stage),
 ]
 
