@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import jaccard, packing, quality, sharding, suffixes, toxicity
+from tidegrid.llm import jaccard, packing, pieces, quality, sharding, suffixes, toxicity
+
+
+#: The vocabulary file that op6 takes.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +33,10 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), PIECE_MODEL, decoded=True)
+
+
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeats(table(spark, sf_dir, "documents"))
 
@@ -42,6 +50,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
     "op5_jaccard": op5_jaccard,
+    "op6_pieces": op6_pieces,
     "op7_suffixes": op7_suffixes,
     "op10_sharding": op10_sharding,
 }
