@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import jaccard, packing, pieces, quality, sharding, suffixes, toxicity
+from tidegrid.llm import jaccard, packing, phrases, pieces, quality, sharding, suffixes, toxicity
 
 
 #: The vocabulary file that op6 takes.
@@ -41,6 +41,10 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeats(table(spark, sf_dir, "documents"))
 
 
+def op9_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.similar(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op5_jaccard": op5_jaccard,
     "op6_pieces": op6_pieces,
     "op7_suffixes": op7_suffixes,
+    "op9_phrases": op9_phrases,
     "op10_sharding": op10_sharding,
 }
 
