@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import jaccard, packing, phrases, pieces, quality, sharding, suffixes, toxicity
+from tidegrid.llm import jaccard, packing, phrases, pieces, quality, sharding, suffixes, toxicity, warc
+from tidegrid.llm.shared import shared_folder
 
 
 #: The vocabulary file that op6 takes.
@@ -41,6 +42,10 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.pages_round_trip(spark, table(spark, sf_dir, "pages"), shared_folder(spark))
+
+
 def op9_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.similar(table(spark, sf_dir, "documents"))
 
@@ -56,8 +61,9 @@ QUERIES = {
     "op5_jaccard": op5_jaccard,
     "op6_pieces": op6_pieces,
     "op7_suffixes": op7_suffixes,
+    "op8_warc": op8_warc,
     "op9_phrases": op9_phrases,
     "op10_sharding": op10_sharding,
 }
 
-ORACLES = {"op5_jaccard": jaccard.ORACLE, "op7_suffixes": suffixes.ORACLE, "op10_sharding": sharding.ORACLE}
+ORACLES = {"op5_jaccard": jaccard.ORACLE, "op7_suffixes": suffixes.ORACLE, "op8_warc": warc.ORACLE, "op10_sharding": sharding.ORACLE}
