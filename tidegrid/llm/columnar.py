@@ -129,27 +129,31 @@ def ngram_hashes(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.nda
     owner = np.repeat(np.arange(len(counts)), grams)
     if not len(owner):
         return np.zeros(0, dtype=np.uint64), owner
-    within = np.arange(len(owner)) - np.repeat(np.cumsum(grams) - grams, grams)
-    at = bounds[:-1][owner] + within
-    size = np.minimum(counts[owner], n)
-    out = np.zeros(len(at), dtype=np.uint64)
-    for k in range(n):
-        on = at + k
-        if k and (size <= k).any():
-            keep = size > k
-            out[keep] = out[keep] * np.uint64(_BASE) + hashes[on[keep]]
-        else:
-            out = out * np.uint64(_BASE) + hashes[on]
-    return mix(out + size.astype(np.uint64)), owner
+    at = ragged(bounds[:-1], grams)
+    size = np.minimum(counts, n)
+    padded = np.append(hashes, np.zeros(n, dtype=np.uint64))
+    out = padded[at]
+    for k in range(1, n):
+        out = out * np.uint64(_BASE) + padded[at + k]
+    short = np.flatnonzero((counts > 0) & (counts < n))
+    if len(short):
+        place = (np.cumsum(grams) - grams)[short]
+        value = np.zeros(len(short), dtype=np.uint64)
+        for k in range(n - 1):
+            on = k < counts[short]
+            value[on] = value[on] * np.uint64(_BASE) + hashes[bounds[:-1][short[on]] + k]
+        out[place] = value
+    return mix(out + size[owner].astype(np.uint64)), owner
 
 
 def distinct_pairs(owner: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct (owner, value) pairs, sorted by both; owner comes sorted."""
     if not len(values):
         return owner, values
-    order = np.argsort(values, kind="stable")
-    order = order[np.argsort(owner[order].astype(np.int32), kind="stable")]
-    owner, values = owner[order], values[order]
+    values = values.copy()
+    edges = [0, *(np.flatnonzero(owner[1:] != owner[:-1]) + 1).tolist(), len(values)]
+    for a, b in zip(edges[:-1], edges[1:]):  # by text: a vectorised sort each
+        values[a:b].sort()
     fresh = np.ones(len(values), dtype=bool)
     fresh[1:] = (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])
     return owner[fresh], values[fresh]

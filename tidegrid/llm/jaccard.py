@@ -3,8 +3,9 @@
 A set is the distinct N-grams of a document's folded words (lower case, ASCII punctuation left out). Documents with equal sets form a
 class, and classes are joined; its members share each answer.
 
-1. Frequencies. Every gram of every document is counted over the whole corpus. Grams are ordered by the power of two of their count,
-   rare ones first, then by hash. Any one order gives the same result; this one keeps index lists short.
+1. Frequencies. Every word and every gram of every document is counted over the whole corpus. Grams are ordered by the power of two
+   of the number of documents expected for them, rare ones first, then by hash. Expected is what a gram's words would give
+   by chance, or, for frequent grams, their own count if that is more. Any one order gives the same result; this one keeps index lists short.
 2. Index. Two sets of Jaccard similarity t share a gram among the first |x| - ceil(t |x|) + 1 of each. A list of the index
    has, for one gram, the sets with it in their prefix, in blocks of one position, by size within a block. For a set probing
    the list, the sizes that length and position still allow are one range of a block, so whole blocks are skipped (index-level skipping).
@@ -16,6 +17,7 @@ class, and classes are joined; its members share each answer.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,22 +28,28 @@ from tidegrid.llm.columnar import FOLDED_SQL, FOLDED_WORD, distinct_pairs, fold,
 from tidegrid.llm.shared import slots, stored
 
 GRAM, THRESHOLD = 3, 0.6
-#: A gram in at least so many documents counts as frequent.
+#: A gram or word that occurs at least so often counts as frequent.
 FREQUENT = 16
-#: Frequent grams and candidate classes are sent to the scan if no more than this. Beyond it, FREQUENT is doubled (the result doesn't
-#: depend on it) and candidate classes reach the documents by a join.
-BROADCAST_KEYS = 4_000_000
-CLASS_BITS = 5
+#: Frequent grams, frequent words and candidate classes are sent to the scan if no more than this. Beyond it, FREQUENT is doubled (the
+#: result doesn't depend on it) and candidate classes reach the documents by a join.
+BROADCAST_KEYS = 2_000_000
+CLASS_BITS = 6
+CLASSES, BY_GRAM, BY_WORD = 0, 1, 2
 
 
-def sets_of(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The text and hash of all grams, distinct and sorted by both; each text's number of grams; each text's class (0: no grams)."""
+def folded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all folded words; the first word of each text."""
     data, offsets = utf8(texts)
     data = fold(data)
     starts, ends, bounds = words(data, offsets)
-    grams, owner = ngram_hashes(span_hashes(data, starts, ends), bounds, n)
+    return span_hashes(data, starts, ends), bounds
+
+
+def sets_of(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The text and hash of all grams, distinct and sorted by both; each text's number of grams; each text's class (0: no grams)."""
+    grams, owner = ngram_hashes(hashes, bounds, n)
     owner, grams = distinct_pairs(owner, grams)
-    size = np.bincount(owner, minlength=len(texts))
+    size = np.bincount(owner, minlength=len(bounds) - 1)
     ends = np.cumsum(size)
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(grams ^ np.uint64(0x5851F42D4C957F2D)))])
     of = mix(mix(sums[ends] - sums[ends - size]) + size.astype(np.uint64)) | np.uint64(1)
@@ -61,63 +69,121 @@ def packed(buckets: int, keys: np.ndarray, *columns: np.ndarray) -> tuple[np.nda
     return there, out
 
 
-def frequent_grams(docs: DataFrame, n: int, buckets: int) -> DataFrame:
-    """Grams (by the upper 32 bits of their hash) with their number of documents, from FREQUENT on."""
+def statistics(docs: DataFrame, n: int, buckets: int) -> DataFrame:
+    """Rows of kind, a, b: doc_id and class of each document with words; frequent grams (upper 32 bits) and frequent words with their counts."""
     step = 1 << 20
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
 
-        def out() -> pa.RecordBatch:
-            grams = np.concatenate(held)
-            there, (blob,) = packed(buckets, grams, (grams >> np.uint64(32)).astype(np.uint32))
-            return pa.record_batch([pa.array(there.astype(np.int32)), blob], names=["bucket", "grams"])
+        def out() -> Iterator[pa.RecordBatch]:
+            ids, cls, grams, used = (np.concatenate(x) for x in zip(*held))
+            used, times = np.unique(used, return_counts=True)
+            for kind, keys, columns in ((CLASSES, mix(cls), (ids, cls)), (BY_GRAM, grams, ((grams >> np.uint64(32)).astype(np.uint32),)), (BY_WORD, used, (used, times))):
+                there, blobs = packed(buckets, keys, *columns)
+                blobs = blobs if len(blobs) == 2 else [*blobs, pa.nulls(len(there), pa.binary())]
+                yield pa.record_batch([pa.array(np.full(len(there), kind, dtype=np.int32)), pa.array(there.astype(np.int32)), *blobs], names=["kind", "bucket", "a", "b"])
 
         for piece in slices(batches, "text"):
-            held.append(sets_of(piece.column(0), n)[1])
-            size += len(held[-1])
+            hashes, bounds = folded_words(piece.column(1))
+            _, grams, _, cls = sets_of(hashes, bounds, n)
+            some = cls != 0
+            held.append((piece.column(0).to_numpy()[some], cls[some], grams, hashes))
+            size += len(grams)
             if size >= step:
-                yield out()
+                yield from out()
                 held, size = [], 0
-        if size:
-            yield out()
+        if held:
+            yield from out()
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[np.ndarray]] = {}
+        grams: list[np.ndarray] = []
+        used: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def rows(kind: int, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(a), 1 << 16):
+                part = slice(k, k + (1 << 16))
+                yield pa.record_batch([pa.array(np.full(len(a[part]), kind, dtype=np.int32)), pa.array(a[part].astype(np.int64)), pa.array(b[part].view(np.int64))], names=["kind", "a", "b"])
+
         for batch in batches:
-            for b, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                by.setdefault(b, []).append(np.frombuffer(raw.as_buffer(), dtype=np.uint32))
-        for b in list(by):
-            grams = np.sort(np.concatenate(by.pop(b)))
-            first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
-            times = np.diff(np.append(first, len(grams)))
-            many = times >= FREQUENT
-            yield pa.record_batch([pa.array(grams[first[many]].astype(np.int64)), pa.array(times[many].astype(np.int64))], names=["gram", "times"])
-
-    spreads = docs.select("text").mapInArrow(spread, "bucket int, grams binary")
-    return spreads.repartitionById(buckets, F.col("bucket")).mapInArrow(count, "gram bigint, times bigint")
-
-
-def order_table(counted: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent grams, sorted, and the class of each: the bits of its count."""
-    least = FREQUENT
-    while counted.where(F.col("times") >= least).count() > limit:
-        least *= 2
-    table = counted.where(F.col("times") >= least).orderBy("gram").toArrow()
-    times = table.column("times").to_numpy()
-    return table.column("gram").to_numpy().astype(np.uint32), np.minimum(np.log2(np.maximum(times, 1)).astype(np.uint64), np.uint64(2**CLASS_BITS - 1))
-
-
-def ordered(grams: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Grams as keys whose order is that of the index: frequency class above, hash below."""
-    keys = grams >> np.uint64(CLASS_BITS)
-    short = (grams >> np.uint64(32)).astype(np.uint32)
-    if len(table[0]):
-        at = np.searchsorted(table[0], short)
-        at[at == len(table[0])] = 0
-        hit = table[0][at] == short
-        keys[hit] |= table[1][at[hit]] << np.uint64(64 - CLASS_BITS)
-    return keys
+            for kind, a, b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+                if kind == CLASSES:
+                    yield from rows(CLASSES, np.frombuffer(a.as_buffer(), dtype=np.int64), np.frombuffer(b.as_buffer(), dtype=np.int64))
+                elif kind == BY_GRAM:
+                    grams.append(np.frombuffer(a.as_buffer(), dtype=np.uint32))
+                else:
+                    used.append((np.frombuffer(a.as_buffer(), dtype=np.uint64), np.frombuffer(b.as_buffer(), dtype=np.int64)))
+        if grams:
+            all_grams = np.sort(np.concatenate(grams))
+            grams.clear()
+            first = np.flatnonzero(np.append(True, all_grams[1:] != all_grams[:-1]))
+            times = np.diff(np.append(first, len(all_grams)))
+            yield from rows(BY_GRAM, all_grams[first[times >= FREQUENT]].astype(np.int64), times[times >= FREQUENT])
+        if used:
+            words_, times = (np.concatenate(x) for x in zip(*used))
+            words_, at = np.unique(words_, return_inverse=True)
+            total = np.bincount(at, weights=times).astype(np.int64)
+            yield from rows(BY_WORD, words_[total >= FREQUENT].view(np.int64), total[total >= FREQUENT])
+            yield from rows(BY_WORD, np.zeros(1, dtype=np.int64), total.sum(keepdims=True))  # all words, under 0
+
+    spreads = docs.select("doc_id", "text").mapInArrow(spread, "kind int, bucket int, a binary, b binary")
+    return spreads.repartitionById(buckets, F.col("bucket")).mapInArrow(count, "kind int, a bigint, b bigint")
+
+
+@dataclass
+class Order:
+    """Frequent grams and words, sorted, with the bits of their count; bits of the number of all words."""
+
+    grams: np.ndarray
+    gram_bits: np.ndarray
+    words: np.ndarray
+    word_bits: np.ndarray
+    all_bits: float
+
+
+def order_of(counted: DataFrame, limit: int) -> Order:
+    tables = []
+    for kind in (BY_GRAM, BY_WORD):
+        rows = counted.where((F.col("kind") == kind) & (F.col("a") != 0)).select("a", "b")
+        least = FREQUENT
+        while rows.where(F.col("b") >= least).count() > limit:
+            least *= 2
+        table = rows.where(F.col("b") >= least).toArrow()
+        keys, times = table.column("a").to_numpy().view(np.uint64), np.log2(np.maximum(table.column("b").to_numpy(), 1)).astype(np.float32)
+        order = np.argsort(keys)
+        tables += [keys[order], times[order]]
+    total = counted.where((F.col("kind") == BY_WORD) & (F.col("a") == 0)).agg(F.sum("b")).first()[0] or 1
+    return Order(tables[0].astype(np.uint32), tables[1], tables[2], tables[3], float(np.log2(total)))
+
+
+def looked_up(keys: np.ndarray, table: np.ndarray, values: np.ndarray, missing: float) -> np.ndarray:
+    out = np.full(len(keys), missing, dtype=np.float32)
+    if len(table):
+        at = np.searchsorted(table, keys)
+        at[at == len(table)] = 0
+        hit = table[at] == keys
+        out[hit] = values[at[hit]]
+    return out
+
+
+def ordered(hashes: np.ndarray, bounds: np.ndarray, n: int, order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The text and key of all grams, distinct and sorted by both, and each text's class. The order of keys is that of the index: expected frequency above, hash below."""
+    grams, owner = ngram_hashes(hashes, bounds, n)
+    rare = looked_up(hashes, order.words, order.word_bits, 1.0) - np.float32(order.all_bits)  # log2 of each word's share
+    counts = np.diff(bounds)
+    per = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
+    at = ragged(bounds[:-1], per)
+    padded = np.append(rare, np.zeros(n, dtype=np.float32))
+    expected = np.float32(order.all_bits) + padded[at]
+    for k in range(1, n):
+        expected += padded[at + k]
+    short = np.repeat((counts > 0) & (counts < n), per)
+    expected[short] = 0
+    expected = np.maximum(expected, looked_up((grams >> np.uint64(32)).astype(np.uint32), order.grams, order.gram_bits, -99.0))
+    level = np.clip(expected + 40, 0, 2**CLASS_BITS - 1).astype(np.uint64)
+    keys = level << np.uint64(64 - CLASS_BITS) | grams >> np.uint64(CLASS_BITS)
+    return *distinct_pairs(owner, keys), sets_of(hashes, bounds, n)[3]
 
 
 def prefix_size(size: np.ndarray, t: float) -> np.ndarray:
@@ -186,9 +252,9 @@ def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[keep], high[keep]
 
 
-def candidates(docs: DataFrame, n: int, t: float, buckets: int, table: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def candidates(docs: DataFrame, n: int, t: float, buckets: int, order: Order) -> DataFrame:
     """Pairs of classes (a < b as signed numbers) that the index leaves; repeats between buckets are taken out."""
-    known = docs.sparkSession.sparkContext.broadcast(table)
+    known = docs.sparkSession.sparkContext.broadcast(order)
     step = 1 << 19
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,10 +268,8 @@ def candidates(docs: DataFrame, n: int, t: float, buckets: int, table: tuple[np.
             return pa.record_batch([pa.array(there.astype(np.int32)), *blobs], names=["bucket", "gram", "cls", "size", "pos"])
 
         for piece in slices(batches, "text"):
-            owner, grams, count, cls = sets_of(piece.column(0), n)
-            keys = ordered(grams, known.value)
-            owner, keys = distinct_pairs(owner, keys)
-            count = np.bincount(owner, minlength=len(count))
+            owner, keys, cls = ordered(*folded_words(piece.column(0)), n, known.value)
+            count = np.bincount(owner, minlength=len(cls))
             take = np.minimum(prefix_size(count, t), count)
             start = np.cumsum(count) - count
             at = ragged(start, take)
@@ -235,17 +299,6 @@ def candidates(docs: DataFrame, n: int, t: float, buckets: int, table: tuple[np.
     return entries.repartitionById(buckets, F.col("bucket")).mapInArrow(join, "a bigint, b bigint").distinct()
 
 
-def classes(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id and class of each document that has words."""
-
-    def classify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "text"):
-            cls = sets_of(piece.column(1), n)[3]
-            yield pa.record_batch([piece.column(0), pa.array(cls.view(np.int64))], names=["doc_id", "cls"]).filter(pa.array(cls != 0))
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).mapInArrow(classify, "doc_id bigint, cls bigint")
-
-
 def sets_for(docs: DataFrame, wanted: DataFrame, members: DataFrame, n: int, limit: int) -> DataFrame:
     """The class and grams of one document for each wanted class."""
     spark = docs.sparkSession
@@ -260,7 +313,7 @@ def sets_for(docs: DataFrame, wanted: DataFrame, members: DataFrame, n: int, lim
     def grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for piece in slices(batches, "text"):
-            _, grams, size, cls = sets_of(piece.column(0), n)
+            _, grams, size, cls = sets_of(*folded_words(piece.column(0)), n)
             keep = member(cls, known.value) if known is not None else cls != 0
             for k in np.flatnonzero(keep):
                 keep[k] = int(cls[k]) not in seen
@@ -326,11 +379,10 @@ def answered(groups: DataFrame, t: float) -> DataFrame:
     return groups.mapInArrow(answer, "a bigint, b bigint, jaccard double")
 
 
-def similar_classes(docs: DataFrame, members: DataFrame, n: int = GRAM, t: float = THRESHOLD, limit: int = BROADCAST_KEYS) -> DataFrame:
+def similar_classes(docs: DataFrame, members: DataFrame, order: Order, n: int = GRAM, t: float = THRESHOLD, limit: int = BROADCAST_KEYS) -> DataFrame:
     spark = docs.sparkSession
     buckets = slots(spark, docs)
-    table = order_table(stored(spark, frequent_grams(docs, n, buckets)), limit)
-    pairs = stored(spark, candidates(docs, n, t, buckets, table))
+    pairs = stored(spark, candidates(docs, n, t, buckets, order))
     sides = pairs.select(F.col("a").alias("cls"), F.col("b").alias("other")).union(pairs.select("b", "a"))
     leaders = sides.groupBy("cls").agg(F.least(F.col("cls"), F.min("other")).alias("leader"))
     led = pairs.join(leaders.withColumnRenamed("cls", "a"), "a").select("leader", "a", "b")
@@ -355,10 +407,11 @@ def jaccard_join(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, l
     table gives no rows; further columns are ignored.
     """
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    members = stored(docs.sparkSession, classes(docs, n))
+    counted = stored(docs.sparkSession, statistics(docs, n, slots(docs.sparkSession, docs)))
+    members = counted.where(F.col("kind") == CLASSES).select(F.col("a").alias("doc_id"), F.col("b").alias("cls"))
     standing = members.groupBy("cls").agg(F.min("doc_id").alias("rep"))
     copies = members.join(standing, "cls").where("doc_id > rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
-    near = similar_classes(docs, members, n, threshold, limit)
+    near = similar_classes(docs, members, order_of(counted, limit), n, threshold, limit)
     near = near.join(standing.toDF("a", "ra"), "a").join(standing.toDF("b", "rb"), "b").where("ra != rb")
     near = near.select(F.least("ra", "rb").alias("doc_a"), F.greatest("ra", "rb").alias("doc_b"), "jaccard")
     return copies.union(near)
