@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrid.llm import jaccard, packing, phrases, pieces, quality, sharding, suffixes, toxicity, warc
+from tidegrid.llm import jaccard, media, packing, phrases, pictures, pieces, quality, sharding, suffixes, toxicity, warc
 from tidegrid.llm.shared import shared_folder
 
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media(pictures.drawn(table(spark, sf_dir, "pages"), "page_id", "html"), "page_id")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -55,6 +59,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_media": op1_media,
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
