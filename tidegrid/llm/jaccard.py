@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.columnar import FOLDED_SQL, FOLDED_WORD, distinct_pairs, fold, key_filter, member, mix, ngram_hashes, pieces_of, ragged, slices, span_hashes, utf8, words
+from tidegrid.llm.columnar import FOLDED_SQL, FOLDED_WORD, distinct_pairs, fold, member, mix, ngram_hashes, pieces_of, ragged, slices, span_hashes, utf8, words
 from tidegrid.llm.shared import slots, stored
 
 GRAM, THRESHOLD = 3, 0.6
@@ -299,32 +299,37 @@ def candidates(docs: DataFrame, n: int, t: float, buckets: int, order: Order) ->
     return entries.repartitionById(buckets, F.col("bucket")).mapInArrow(join, "a bigint, b bigint").distinct()
 
 
-def sets_for(docs: DataFrame, wanted: DataFrame, members: DataFrame, n: int, limit: int) -> DataFrame:
-    """The class and grams of one document for each wanted class."""
+def shipped_sets(docs: DataFrame, ships: DataFrame, n: int, limit: int) -> DataFrame:
+    """leader, class and grams for each row of ships (cls, rep, leader): the set of document rep goes to the leader."""
     spark = docs.sparkSession
-    table = key_filter(spark, wanted, limit)
-    known = spark.sparkContext.broadcast(table) if table is not None else None
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    if table is None:
-        one = members.join(wanted.withColumnRenamed("cls", "w"), F.col("cls") == F.col("w"), "left_semi").groupBy("cls").agg(F.min("doc_id").alias("d"))
-        ids = one.select("d").distinct()
-        rows = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    small = ships.count() <= limit
+    known = None
+    if small:
+        table = ships.orderBy("cls").toArrow()
+        known = spark.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("cls", "rep", "leader")))
 
     def grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for piece in slices(batches, "text"):
-            _, grams, size, cls = sets_of(*folded_words(piece.column(0)), n)
-            keep = member(cls, known.value) if known is not None else cls != 0
-            for k in np.flatnonzero(keep):
-                keep[k] = int(cls[k]) not in seen
-                seen.add(int(cls[k]))
-            if len(seen) > 1 << 20:
-                seen.clear()
-            end = np.cumsum(size)
-            blob = pieces_of(grams.view(np.uint8), (end - size)[keep] * 8, end[keep] * 8)
-            yield pa.record_batch([pa.array(cls[keep].view(np.int64)), blob], names=["cls", "grams"])
-
-    return rows.select("text").mapInArrow(grams, "cls bigint, grams binary")
+            _, grams, size, cls = sets_of(*folded_words(piece.column(1)), n)
+            signed, end = cls.view(np.int64), np.cumsum(size)
+            if known is None:
+                at, leader = np.flatnonzero(cls != 0), signed
+            else:
+                keys, rep, leaders = known.value
+                low, high = np.searchsorted(keys, signed, "left"), np.searchsorted(keys, signed, "right")
+                at = np.repeat(np.arange(len(cls)), high - low)
+                hit = ragged(low, high - low)
+                mine = rep[hit] == piece.column(0).to_numpy()[at]
+                at, leader = at[mine], leaders[hit[mine]]
+            blob = pieces_of(grams.view(np.uint8), (end - size)[at] * 8, end[at] * 8)
+            yield pa.record_batch([pa.array(leader if known is not None else leader[at]), pa.array(signed[at]), blob], names=["leader", "cls", "grams"])
+
+    rows = docs.select("doc_id", "text")
+    if small:
+        return rows.mapInArrow(grams, "leader bigint, cls bigint, grams binary")
+    rows = rows.join(ships.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = rows.mapInArrow(grams, "leader bigint, cls bigint, grams binary").dropDuplicates(["cls"]).select("cls", "grams")
+    return ships.join(sets, "cls").select("leader", "cls", "grams")
 
 
 def overlaps(sets: dict[int, np.ndarray], pairs: list[tuple[int, int]]) -> list[int]:
@@ -388,9 +393,8 @@ def similar_classes(docs: DataFrame, members: DataFrame, order: Order, n: int =
     led = pairs.join(leaders.withColumnRenamed("cls", "a"), "a").select("leader", "a", "b")
     led = stored(spark, led)
     ships = led.select("leader", F.col("a").alias("cls")).union(led.select("leader", "b")).distinct()
-    wanted = stored(spark, leaders.select("cls"))
-    sets = sets_for(docs, wanted, members, n, limit).dropDuplicates(["cls"])
-    shipped = ships.join(sets, "cls").select("leader", F.col("cls").alias("a"), F.lit(None).cast("bigint").alias("b"), "grams")
+    ships = stored(spark, ships.join(members.groupBy("cls").agg(F.min("doc_id").alias("rep")), "cls").select("cls", "rep", "leader"))
+    shipped = shipped_sets(docs, ships, n, limit).select("leader", F.col("cls").alias("a"), F.lit(None).cast("bigint").alias("b"), "grams")
     groups = shipped.union(led.select("leader", "a", "b", F.lit(None).cast("binary").alias("grams")))
     return answered(groups.repartition(buckets, "leader").sortWithinPartitions("leader"), t)
 

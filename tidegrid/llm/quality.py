@@ -166,14 +166,14 @@ def quality(docs: DataFrame, model: Classifier, threshold: float = 0.5, id_col:
     text is judged as a text of no words. Without labels, or with one class, the classifier can't tell and everything is kept or has the
     base rate. Repeated rows count and are scored each; an empty table gives no rows; further columns are ignored.
     """
-    scores = scored(docs, model, id_col, host, path)
+    scores = stored(docs.sparkSession, scored(docs, model, id_col, host, path))
     return combined(scores, sites_of(scores), threshold).select("doc_id", "p_document", "p_host", "p_path", "quality", "keep")
 
 
 def keep_good(docs: DataFrame, model: Classifier, threshold: float = 0.5, host: str = "source", path: str = "lang") -> DataFrame:
     """The rows of docs, all columns as they are, whose quality reaches threshold."""
     names = docs.columns
-    sites = sites_of(scored(docs, model, "doc_id", host, path))
+    sites = sites_of(stored(docs.sparkSession, scored(docs, model, "doc_id", host, path).select("host", "path", "z")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -64,6 +64,13 @@ def feature_places(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(places), np.concatenate(of)
 
 
+def document_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (text, feature place) pairs, sorted by text."""
+    places, owner = feature_places(texts)
+    order = np.argsort(owner, kind="stable")
+    return distinct_pairs(owner[order], places[order])
+
+
 def probabilities(chain: Chain, texts: pa.Array) -> np.ndarray:
     """A row for each category in chain order."""
     places, owner = feature_places(texts)
@@ -99,25 +106,20 @@ def train(sample: pa.Table, categories: Sequence[str], places_z: float = MIN_Z)
     n = len(texts)
     y = {c: sample.column(c).to_numpy().astype(float) if n else np.zeros(0) for c in categories}
     main = categories[-1]
-    owner, places = [], []
-    base = 0
-    for piece in slices([pa.record_batch([texts], names=["_text"])], "_text"):
-        p, o = feature_places(piece.column(0))
-        order = np.argsort(o, kind="stable")
-        o, p = distinct_pairs(o[order], p[order])
-        owner.append(o + base)
-        places.append(p)
-        base += piece.num_rows
-    owner, places = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (owner, places))
+    pieces = list(slices([pa.record_batch([texts], names=["_text"])], "_text"))
     # Copies of one document count once when features are chosen.
-    print_of = np.bincount(owner, weights=mix(places.astype(np.uint64)).astype(float), minlength=n) if n else np.zeros(0)
-    first = np.zeros(n, dtype=bool)
-    first[np.unique(print_of, return_index=True)[1]] = True
-    use = first[owner] if n else np.zeros(0, dtype=bool)
+    seen: set[str | None] = set()
+    first = np.array([not (t in seen or seen.add(t)) for t in texts.to_pylist()], dtype=bool)
     toxic = y[main] > 0
     n1, n0 = max(1, (first & toxic).sum()), max(1, (first & ~toxic).sum())
-    c1 = np.bincount(places[use & toxic[owner]], minlength=PLACES) if n else np.zeros(PLACES)
-    c0 = np.bincount(places[use & ~toxic[owner]], minlength=PLACES) if n else np.zeros(PLACES)
+    c1, c0 = np.zeros(PLACES), np.zeros(PLACES)
+    base = 0
+    for piece in pieces:
+        owner, places = document_features(piece.column(0))
+        owner += base
+        base += piece.num_rows
+        c1 += np.bincount(places[(first & toxic)[owner]], minlength=PLACES)
+        c0 += np.bincount(places[(first & ~toxic)[owner]], minlength=PLACES)
     pooled = (c1 + c0) / (n1 + n0)
     z = (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n1 + 1 / n0))
     z[c1 + c0 < 3] = 0
@@ -125,9 +127,13 @@ def train(sample: pa.Table, categories: Sequence[str], places_z: float = MIN_Z)
     best = best[np.abs(z[best]) >= places_z]
     place = np.full(PLACES, -1, dtype=np.int32)
     place[best] = np.arange(len(best))
-    cols = place[places]
-    hit = cols >= 0
-    owner, cols = owner[hit], cols[hit]
+    found, base = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32))], 0
+    for piece in pieces:
+        owner, places = document_features(piece.column(0))
+        cols = place[places]
+        found.append((owner[cols >= 0] + base, cols[cols >= 0]))
+        base += piece.num_rows
+    owner, cols = (np.concatenate(x) for x in zip(*found))
     names = list(categories)
     if len(categories) == 1:
         strong = (z[best] >= 2 * places_z) if len(best) else np.zeros(0, dtype=bool)
