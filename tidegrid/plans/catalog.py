@@ -391,7 +391,7 @@ def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("events_parent_child", f"WITH {EVENTS}, c AS (SELECT parent AS event_id, list_sort(list(DISTINCT event_id)) AS children FROM ev WHERE parent IS NOT NULL GROUP BY parent) SELECT event_id, coalesce(children, []) AS children FROM ev LEFT JOIN c USING (event_id)")(
     lambda s, d: events.with_children(tables.operational(s, d)).select("event_id", F.col("child_ids").alias("children"))
 )
-query("events_text", "SELECT conv_id || '-' || turn AS event_id FROM conversations WHERE contains(lower(text), 'con') AND role <> 'user'")(
+query("events_text", "SELECT conv_id || '-' || turn AS event_id FROM conversations WHERE contains(lower(text), 'con') AND contains(role, 'a') AND NOT contains(role, 'user')")(
     lambda s, d: events.searched(tables.spoken(s, d), 0, 2**40, "message:con AND role:a -namespace:user").select("event_id")
 )
 
