@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.columnar import FOLDED_SQL, FOLDED_WORD, distinct_pairs, fold, member, mix, ngram_hashes, pieces_of, ragged, slices, span_hashes, utf8, words
-from tidegrid.llm.shared import slots, stored
+from tidegrid.llm.shared import Sent, slots, stored
 
 GRAM, THRESHOLD = 3, 0.6
 #: A gram or word that occurs at least so often counts as frequent.
@@ -254,7 +254,7 @@ def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def candidates(docs: DataFrame, n: int, t: float, buckets: int, order: Order) -> DataFrame:
     """Pairs of classes (a < b as signed numbers) that the index leaves; repeats between buckets are taken out."""
-    known = docs.sparkSession.sparkContext.broadcast(order)
+    known = Sent(docs.sparkSession, order)
     step = 1 << 19
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,7 +429,7 @@ def one_of_each(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD) ->
     spark = docs.sparkSession
     edges = stored(spark, jaccard_join(docs, n, threshold).select("doc_a", "doc_b"))
     gone = components(edges).where("doc_id != root").select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["gone"], "left_anti")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.columnar import offsets_of, ragged, slices, span_hashes, utf8
+from tidegrid.llm.shared import Sent
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -308,7 +309,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", decoded: bo
     repeated rows each have a row, an empty table none; further columns are ignored. A mark (U+2581) in a text is a blank to the model.
     """
     model = load(model_path)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Sent(docs.sparkSession, model)
     schema = "doc_id bigint, ids array<int>" + ", decoded string" * decoded
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +324,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", decoded: bo
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """doc_id and text for each row of doc_id and ids; null ids give null, an empty list an empty text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(load(model_path))
+    shared = Sent(encoded.sparkSession, load(model_path))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Batches(shared.value)

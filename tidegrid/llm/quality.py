@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.columnar import distinct_pairs, owners, slices, span_hashes, utf8, words
-from tidegrid.llm.shared import fit_logistic, sigmoid, stored
+from tidegrid.llm.shared import Sent, fit_logistic, sigmoid, stored
 from tidegrid.llm.toxicity import sample_of
 
 #: The labelled rows that the classifier's fit looks at, at most; taken by a seeded hash of doc_id.
@@ -107,7 +107,7 @@ def train(sample: pa.Table) -> Classifier:
 
 def scored(docs: DataFrame, model: Classifier, id_col: str, host: str, path: str) -> DataFrame:
     """doc_id, host, path and log odds of each document by its text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Sent(docs.sparkSession, model)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
@@ -174,7 +174,7 @@ def keep_good(docs: DataFrame, model: Classifier, threshold: float = 0.5, host:
     """The rows of docs, all columns as they are, whose quality reaches threshold."""
     names = docs.columns
     sites = sites_of(stored(docs.sparkSession, scored(docs, model, "doc_id", host, path).select("host", "path", "z")))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Sent(docs.sparkSession, model)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,23 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+class Sent:
+    """A broadcast of a value whose class goes along, so that executors needn't be able to import it."""
+
+    def __init__(self, spark: SparkSession, value: object) -> None:
+        self.raw = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self.held: object = None
+
+    def __getstate__(self) -> dict:
+        return {"raw": self.raw, "held": None}
+
+    @property
+    def value(self):
+        if self.held is None:
+            self.held = pickle.loads(self.raw.value)
+        return self.held
+
+
 def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder; it survives the loss of executors."""
     path = shared_folder(spark)

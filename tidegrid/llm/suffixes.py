@@ -237,10 +237,13 @@ def without_repeats(docs: DataFrame, depth: int = DEPTH, limit: int = BROADCAST_
     names = docs.columns
     counted = next((k for k, c in enumerate(names) if c == "n_chars"), None)
     text_at = names.index("text")
+    mark = "_cuts"
+    while mark in [c.lower() for c in names]:
+        mark += "_"
     again = spans(docs, depth, limit=limit).where("not first").groupBy("doc_id", "tie").agg(F.sort_array(F.collect_list(F.struct("start", "n_words"))).alias("cuts"))
     again = again.select(F.col("doc_id").alias("i"), F.col("tie").alias("t"), "cuts")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.xxhash64("text").alias("tie"))
-    joined = rows.join(again, F.col("row.doc_id").cast("bigint").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t")), "left").select("row.*", "cuts")
+    joined = rows.join(again, F.col("row.doc_id").cast("bigint").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t")), "left").select("row.*", F.col("cuts").alias(mark))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.columnar import distinct_pairs, mix, owners, slices, span_hashes, utf8, words
-from tidegrid.llm.shared import fit_logistic, sigmoid
+from tidegrid.llm.shared import Sent, fit_logistic, sigmoid
 
 #: Hash table of the features: 2**20 places.
 PLACES = 1 << 20
@@ -175,7 +175,7 @@ def toxicity(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col: str
     empty table none; further columns are ignored.
     """
     schema = "doc_id bigint, " + ", ".join(f"`p_{c}` double" for c in chain.names) + ", toxic boolean"
-    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    shared = Sent(docs.sparkSession, chain)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
@@ -187,7 +187,7 @@ def toxicity(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col: str
 
 def keep_clean(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, all columns as they are, that the chain doesn't call toxic."""
-    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    shared = Sent(docs.sparkSession, chain)
     at = docs.columns.index("text")
 
     def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
