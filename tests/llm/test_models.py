@@ -37,6 +37,15 @@ def test_chain_on_held_out_rows(spark):
     assert kept == {k for k, r in found.items() if not r.toxic}
 
 
+def test_fit_is_like_local_training(spark):
+    rows = labelled(200, 4)
+    docs = table(spark, rows.column("_text").to_pylist())
+    labels = spark.createDataFrame([(k, t) for k, t in enumerate(rows.column("toxic").to_pylist())], "doc_id bigint, toxic int")
+    near, far = toxicity.train(rows, ["toxic"]), toxicity.fit(docs, labels)
+    texts = pa.array(labelled(50, 5).column("_text").to_pylist())
+    assert toxicity.probabilities(far, texts) == pytest.approx(toxicity.probabilities(near, texts), abs=1e-6)
+
+
 def test_later_categories_take_earlier_probabilities():
     rows = labelled(300, 2)
     rows = rows.append_column("mild", rows.column("toxic"))

@@ -87,21 +87,26 @@ def evidence(model: Classifier, texts: pa.Array) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", rows: int = SAMPLE_ROWS) -> Classifier:
-    """The document classifier, fitted to at most rows labelled documents (the documented bound)."""
-    return train(sample_of(docs, labels, ["quality"], id_col, rows))
+    """The document classifier, fitted to at most rows labelled documents (the documented bound); executors look at their texts."""
 
+    def shaped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, "_text"):
+            yield pa.record_batch([piece.column(0), piece.column(1), *[pa.array(c) for c in shape(piece.column(2)).T]], names=names)
 
-def train(sample: pa.Table) -> Classifier:
-    n = sample.num_rows
+    names = ["_id", "quality", *[f"x{k}" for k in range(FEATURES)]]
+    sample = sample_of(docs, labels, ["quality"], id_col, rows).select(F.col("_id").cast("bigint").alias("_id"), F.col("quality").cast("double").alias("quality"), "_text")
+    table = sample.mapInArrow(shaped, "_id bigint, quality double, " + ", ".join(f"x{k} double" for k in range(FEATURES))).toArrow().sort_by("_id")
+    return train(np.column_stack([table.column(c).to_numpy() for c in names[2:]]), table.column("quality").to_numpy() > 0)
+
+
+def train(x: np.ndarray, good: np.ndarray) -> Classifier:
+    """The classifier of rows of shape() and whether each is good."""
+    n = len(good)
     if not n:
         return Classifier(np.zeros(FEATURES), np.ones(FEATURES), np.append(np.zeros(FEATURES), 20.0))
-    texts = sample.column("_text").combine_chunks()
-    texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
-    x = np.concatenate([shape(b.column(0)) for b in slices([pa.record_batch([texts], names=["_text"])], "_text")])
-    y = (sample.column("quality").to_numpy() > 0).astype(float)
     mean, scale = x.mean(0), x.std(0) + 1e-3
     z = np.clip((x - mean) / scale, -5, 5)
-    w = fit_logistic(np.repeat(np.arange(n), FEATURES), np.tile(np.arange(FEATURES), n), z.ravel(), y, FEATURES, steps=400)
+    w = fit_logistic(np.repeat(np.arange(n), FEATURES), np.tile(np.arange(FEATURES), n), z.ravel(), good.astype(float), FEATURES, steps=400)
     return Classifier(mean, scale, w)
 
 

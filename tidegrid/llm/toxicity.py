@@ -20,11 +20,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.llm.columnar import distinct_pairs, mix, owners, slices, span_hashes, utf8, words
-from tidegrid.llm.shared import Sent, fit_logistic, sigmoid
+from tidegrid.llm.shared import Sent, fit_logistic, sigmoid, stored
 
 #: Hash table of the features: 2**20 places.
 PLACES = 1 << 20
@@ -92,55 +92,56 @@ def predict(chain: Chain, owner: np.ndarray, cols: np.ndarray, n: int) -> np.nda
     return out
 
 
-def sample_of(docs: DataFrame, labels: DataFrame, wanted: Sequence[str], id_col: str = "doc_id", rows: int = SAMPLE_ROWS, seed: int = 5) -> pa.Table:
-    """At most rows labelled documents: text and the wanted label columns. Unlabelled or repeated ids in labels are left out."""
+def sample_of(docs: DataFrame, labels: DataFrame, wanted: Sequence[str], id_col: str = "doc_id", rows: int = SAMPLE_ROWS, seed: int = 5) -> DataFrame:
+    """At most rows labelled documents, stored: _id, the wanted label columns, _text, and _first, false for copies of a text with a lesser id.
+
+    Unlabelled or repeated ids in labels are left out; of documents with one id, the one whose text has the least hash counts.
+    """
     chosen = labels.select(F.col("doc_id").alias("_id"), *wanted).dropna().dropDuplicates(["_id"]).orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(rows)
     texts = docs.select(F.col(id_col).alias("_id"), F.col("text").alias("_text"))
-    return texts.join(F.broadcast(chosen), "_id").orderBy("_id", F.xxhash64("_text")).limit(rows).toArrow()
+    one = texts.join(F.broadcast(chosen), "_id").groupBy("_id", *wanted).agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+    copies = Window.partitionBy(F.xxhash64("_text")).orderBy("_id")
+    return stored(docs.sparkSession, one.withColumn("_first", F.row_number().over(copies) == 1))
 
 
-def train(sample: pa.Table, categories: Sequence[str], places_z: float = MIN_Z) -> Chain:
-    """The chain fitted to a sample with text in _text and 0/1 in each category's column."""
-    texts = sample.column("_text").combine_chunks() if sample.num_rows else pa.array([], pa.string())
-    texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
-    n = len(texts)
-    y = {c: sample.column(c).to_numpy().astype(float) if n else np.zeros(0) for c in categories}
-    main = categories[-1]
-    pieces = list(slices([pa.record_batch([texts], names=["_text"])], "_text"))
-    # Copies of one document count once when features are chosen.
-    seen: set[str | None] = set()
-    first = np.array([not (t in seen or seen.add(t)) for t in texts.to_pylist()], dtype=bool)
-    toxic = y[main] > 0
-    n1, n0 = max(1, (first & toxic).sum()), max(1, (first & ~toxic).sum())
-    c1, c0 = np.zeros(PLACES), np.zeros(PLACES)
+def local(sample: pa.Table, column: str = "_text") -> pa.Array:
+    texts = sample.column(column).combine_chunks() if sample.num_rows else pa.array([], sample.schema.field(column).type)
+    return texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
+
+
+def places_of(texts: pa.Array, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the chosen texts, and of the others, have each feature place."""
+    counts = np.zeros((2, PLACES))
     base = 0
-    for piece in pieces:
+    for piece in slices([pa.record_batch([texts], names=["_text"])], "_text"):
         owner, places = document_features(piece.column(0))
-        owner += base
+        yes = chosen[owner + base]
         base += piece.num_rows
-        c1 += np.bincount(places[(first & toxic)[owner]], minlength=PLACES)
-        c0 += np.bincount(places[(first & ~toxic)[owner]], minlength=PLACES)
-    pooled = (c1 + c0) / (n1 + n0)
-    z = (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n1 + 1 / n0))
-    z[c1 + c0 < 3] = 0
-    best = np.argsort(-np.abs(z), kind="stable")[:FEATURES]
-    best = best[np.abs(z[best]) >= places_z]
-    place = np.full(PLACES, -1, dtype=np.int32)
-    place[best] = np.arange(len(best))
+        for k, hit in enumerate((yes, ~yes)):
+            counts[k] += np.bincount(places[hit], minlength=PLACES)
+    return counts[0], counts[1]
+
+
+def columns_of(texts: pa.Array, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The (text, column) pairs of features that were chosen."""
     found, base = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32))], 0
-    for piece in pieces:
+    for piece in slices([pa.record_batch([texts], names=["_text"])], "_text"):
         owner, places = document_features(piece.column(0))
         cols = place[places]
         found.append((owner[cols >= 0] + base, cols[cols >= 0]))
         base += piece.num_rows
     owner, cols = (np.concatenate(x) for x in zip(*found))
-    names = list(categories)
-    if len(categories) == 1:
-        strong = (z[best] >= 2 * places_z) if len(best) else np.zeros(0, dtype=bool)
+    return owner, cols
+
+
+def chained(y: dict[str, np.ndarray], place: np.ndarray, strong: np.ndarray, owner: np.ndarray, cols: np.ndarray) -> Chain:
+    """The chain of the label columns y, in their order; strong says which feature columns are the strongest terms."""
+    main = list(y)[-1]
+    n, width = len(y[main]), len(strong)
+    if len(y) == 1:
         hits = np.bincount(owner, weights=strong[cols].astype(float), minlength=n) if len(cols) else np.zeros(n)
         y = {f"{main}_terms": y[main] * (hits >= 1), f"{main}_repeated": y[main] * (hits >= 3), main: y[main]}
-        names = list(y)
-    width = len(best)
+    names = list(y)
     fold = (np.arange(n) * 2654435761 % 2**32) * FOLDS // 2**32
     out_of_fold = np.zeros((len(names), n))
     chain = Chain(names, place, [], width)
@@ -162,9 +163,64 @@ def train(sample: pa.Table, categories: Sequence[str], places_z: float = MIN_Z)
     return chain
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("toxic",), id_col: str = "doc_id", rows: int = SAMPLE_ROWS) -> Chain:
-    """A chain fitted to at most rows labelled documents (the documented bound; scoring covers all documents)."""
-    return train(sample_of(docs, labels, categories, id_col, rows), categories)
+def train(sample: pa.Table, categories: Sequence[str], places_z: float = MIN_Z) -> Chain:
+    """The chain fitted to a local sample with distinct texts in _text and 0/1 in each category's column."""
+    texts = local(sample)
+    y = {c: sample.column(c).to_numpy().astype(float) if len(texts) else np.zeros(0) for c in categories}
+    toxic = y[categories[-1]] > 0
+    c1, c0 = places_of(texts, toxic)
+    n1, n0 = max(1, toxic.sum()), max(1, (~toxic).sum())
+    pooled = (c1 + c0) / (n1 + n0)
+    z = (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n1 + 1 / n0))
+    z[c1 + c0 < 3] = 0
+    best = np.argsort(-np.abs(z), kind="stable")[:FEATURES]
+    best = best[np.abs(z[best]) >= places_z]
+    place = np.full(PLACES, -1, dtype=np.int32)
+    place[best] = np.arange(len(best))
+    return chained(y, place, z[best] >= 2 * places_z, *columns_of(texts, place))
+
+
+def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("toxic",), id_col: str = "doc_id", rows: int = SAMPLE_ROWS, places_z: float = MIN_Z) -> Chain:
+    """A chain fitted to at most rows labelled documents (the documented bound; scoring covers all documents).
+
+    Executors read the sample's texts; to the driver come its labels, the chosen features and which document has which.
+    """
+    sample = sample_of(docs, labels, categories, id_col, rows)
+    main = categories[-1]
+    slim = sample.select("_id", "_first", *categories).toArrow().sort_by("_id")
+    ids, first = local(slim, "_id").to_numpy(), local(slim, "_first").to_numpy(zero_copy_only=False).astype(bool)
+    y = {c: local(slim, c).to_numpy(zero_copy_only=False).astype(float) for c in categories}
+    toxic = y[main] > 0
+    n1, n0 = max(1, int((first & toxic).sum())), max(1, int((first & ~toxic).sum()))
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, PLACES))
+        for batch in batches:
+            total += places_of(batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool))
+        at = np.flatnonzero(total.any(axis=0))
+        yield pa.record_batch([pa.array(at), pa.array(total[0, at]), pa.array(total[1, at])], names=["place", "c1", "c0"])
+
+    counts = sample.where("_first").select("_text", (F.col(main) > 0).alias("yes")).mapInArrow(counted, "place bigint, c1 double, c0 double")
+    counts = counts.groupBy("place").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0")).where("c1 + c0 >= 3")
+    pooled = (F.col("c1") + F.col("c0")) / (n1 + n0)
+    spread = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * (1 / n1 + 1 / n0))
+    scored = counts.select("place", ((F.col("c1") / n1 - F.col("c0") / n0) / spread).alias("z")).where(F.abs("z") >= places_z)
+    best = scored.orderBy(F.desc(F.abs("z")), "place").limit(FEATURES).toArrow()
+    place = np.full(PLACES, -1, dtype=np.int32)
+    place[local(best, "place").to_numpy() if best.num_rows else np.zeros(0, dtype=np.int64)] = np.arange(best.num_rows)
+    strong = local(best, "z").to_numpy() >= 2 * places_z if best.num_rows else np.zeros(0, dtype=bool)
+    shared = Sent(docs.sparkSession, place)
+
+    def featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, cols = columns_of(batch.column(1), shared.value)
+            yield pa.record_batch([batch.column(0).take(pa.array(owner)), pa.array(cols)], names=["_id", "col"])
+
+    pairs = sample.select(F.col("_id").cast("bigint").alias("_id"), "_text").mapInArrow(featured, "_id bigint, col int").toArrow()
+    owner = np.searchsorted(ids, local(pairs, "_id").to_numpy()) if pairs.num_rows else np.zeros(0, dtype=np.int64)
+    cols = local(pairs, "col").to_numpy() if pairs.num_rows else np.zeros(0, dtype=np.int32)
+    order = np.lexsort((cols, owner))
+    return chained(y, place, strong, owner[order], cols[order])
 
 
 def toxicity(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col: str = "doc_id") -> DataFrame:
