@@ -83,6 +83,12 @@ class Points:
         return Points(df, self.tags)
 
 
+def sortable(df: DataFrame, names: list[str]) -> list[Column]:
+    """The columns as what windows and sorts take: maps, which have no order, as text."""
+    kinds = dict(df.dtypes)
+    return [F.to_json(F.array_sort(F.map_entries(n))) if kinds[n].startswith("map") else F.col(n) for n in names]
+
+
 @dataclass(frozen=True)
 class Rate:
     """How a rate is taken: per interval seconds, from one point of a series to the next."""

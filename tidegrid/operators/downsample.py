@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.aggregates import aggregate
-from tidegrid.model import Downsample, Points
+from tidegrid.model import Downsample, Points, sortable
 
 
 def downsampled(points: Points, spec: Downsample, start: int, end: int) -> DataFrame:
@@ -40,7 +40,7 @@ def filled(buckets: DataFrame, series: Sequence[str], start: int, end: int, inte
     """
     count = (end - start) // interval if drop_partial else -(-(end - start) // interval)
     final = start + (count - 1) * interval
-    ordered = Window.partitionBy(*series).orderBy("bucket")
+    ordered = Window.partitionBy(*sortable(buckets, list(series))).orderBy("bucket")
     first = F.when(F.lag("bucket").over(ordered).isNull(), F.lit(start).cast("bigint")).otherwise(F.col("bucket"))
     last = F.coalesce(F.lead("bucket").over(ordered) - interval, F.lit(final).cast("bigint"))
     spread = buckets.withColumns({"lo": first, "hi": last}).withColumn("b", F.explode(F.sequence("lo", "hi", F.lit(interval).cast("bigint"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidegrid.model import SEGMENT, Points, Rate
+from tidegrid.model import SEGMENT, Points, Rate, sortable
 
 
 def rates(points: Points, spec: Rate) -> Points:
@@ -14,7 +14,7 @@ def rates(points: Points, spec: Rate) -> Points:
     to_count goes before delta_only, and this before counters. The gap that to_count takes is, for each series, the most frequent one
     between points of one segment, of equally frequent ones the least.
     """
-    own = Window.partitionBy(*points.series)
+    own = Window.partitionBy(*sortable(points.df, points.series))
     ordered = own.orderBy("ts")
     v, before = F.col("value"), F.lag("value").over(ordered)
     df = points.df.withColumns({"before": before, "gap": F.col("ts") - F.lag("ts").over(ordered)})

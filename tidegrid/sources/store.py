@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions.aggregates import ROLLUP
-from tidegrid.model import SEGMENT, Points, Tags
+from tidegrid.model import SEGMENT, Points, Tags, sortable
 from tidegrid.operators.rollup import rolled_up
 from tidegrid.operators.series import deduped
 
@@ -28,10 +28,10 @@ def _days(start: int, end: int):
 def write_points(points: Points, path: str, mode: str = "append") -> None:
     """Files by day, in which series lie together, so that filters on metrics and tags skip row groups.
 
-    A day is spread over as many files as its metrics need; no day goes through one task.
+    Each metric of a day is one task's.
     """
     df = _by_day(points.df, "ts")
-    df.repartition("day", "metric").sortWithinPartitions("day", *points.series, "ts").write.mode(mode).partitionBy("day").parquet(path)
+    df.repartition("day", "metric").sortWithinPartitions("day", *sortable(df, points.series), "ts").write.mode(mode).partitionBy("day").parquet(path)
 
 
 def read_points(spark: SparkSession, path: str, tags: Tags, start: int | None = None, end: int | None = None) -> Points:
@@ -56,7 +56,7 @@ def flush(points: Points, paths: Sequence[str], now: int, frequency: int, rollup
 
 def write_rollup(points: Points, path: str, interval: int, aggs: Sequence[str] = ROLLUP, width: int = SEGMENT, mode: str = "append") -> None:
     df = _by_day(rolled_up(points, interval, aggs, width), "slot")
-    df.repartition("day", "metric").sortWithinPartitions("day", *points.series, "slot").write.mode(mode).partitionBy("day").parquet(path)
+    df.repartition("day", "metric").sortWithinPartitions("day", *sortable(df, points.series), "slot").write.mode(mode).partitionBy("day").parquet(path)
 
 
 def read_rollup(spark: SparkSession, path: str, start: int, end: int, aggs: Sequence[str] | None = None) -> DataFrame:
