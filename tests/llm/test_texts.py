@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import defaultdict
 from pathlib import Path
 
@@ -159,3 +160,14 @@ def test_media_of_bad_pictures(spark):
     got = media.media(table_, "id").collect()
     assert sorted((r.id or 0, r.status) for r in got) == [(0, "ok"), (1, "ok"), (1, "ok"), (2, "null"), (3, "damaged"), (4, "damaged"), (5, "damaged"), (6, "unsupported")]
     assert media.media(table_.limit(0), "id").count() == 0
+
+
+def test_edited_copies_are_similar(spark):
+    """Labelled by how they are made, not by the signatures: every twentieth word of a copy is another one."""
+    r = random.Random(5)
+    words = [w for t in prose(200, 40, 22, 4000) for w in t.split()]
+    base = [" ".join(r.choice(words) for _ in range(300)) for _ in range(40)]
+    edited = [" ".join(r.choice(words) if k % 20 == 10 else w for k, w in enumerate(t.split())) for t in base]
+    found = {(x.doc_a, x.doc_b) for x in phrases.similar(table(spark, base + edited)).collect()}
+    made = {(k, k + len(base)) for k in range(len(base))}
+    assert len(found & made) >= 0.9 * len(made) and len(found - made) <= 0.1 * len(made)
