@@ -127,3 +127,12 @@ def test_quality_of_nasty_rows(spark):
         assert kept.columns == docs.columns
         assert quality.quality(none(spark), model).count() == quality.keep_good(none(spark), model).count() == 0
     assert kept.count() == docs.count()
+
+
+def test_toxic_prose_is_found_in_each_language(spark):
+    docs, labels = (spark.read.parquet(str(DATA / "sf0.1" / f"{t}.parquet")) for t in ("documents", "labels"))
+    got = toxicity.toxicity(docs, toxicity.fit(docs, labels.where("doc_id % 3 <> 0"))).where("toxic").select("doc_id", "toxic")
+    held = labels.where("doc_id % 3 = 0 AND toxic = 1 AND quality = 1").select("doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    for r in held.join(got, "doc_id", "left").groupBy("lang").agg({"*": "count", "toxic": "count"}).toDF("lang", *"ab").collect():
+        few, many = sorted((r.a, r.b))
+        assert few >= 0.85 * many, (r.lang, few, many)

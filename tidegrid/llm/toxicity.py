@@ -4,7 +4,7 @@ Each category has a linear model over lexical features; the model of a later cat
 earlier ones. In training those are out-of-fold predictions, so that a later model doesn't learn to trust its
 predecessors more than their answers on new documents deserve.
 
-Features say whether a document has a word, or a word that begins with given 4, 5 or 6 bytes (lower case; white space and
+Features say how often, as log(1 + count), a document has a word, or a word that begins with given 4, 5 or 6 bytes (lower case; white space and
 ASCII punctuation separate words). Those that tell the labelled classes apart best, by the z-score of a difference of
 shares, are kept.
 
@@ -77,15 +77,19 @@ def probabilities(chain: Chain, texts: pa.Array) -> np.ndarray:
     cols = chain.place[places]
     hit = cols >= 0
     cols, owner = cols[hit], owner[hit]
-    order = np.argsort(owner, kind="stable")
-    owner, cols = distinct_pairs(owner[order], cols[order])
-    return predict(chain, owner, cols, len(texts))
+    return predict(chain, *times_of(owner, cols), len(texts))
+
 
+def times_of(owner: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (text, column) pairs, sorted by both, and how often each occurs."""
+    pairs, times = np.unique(owner.astype(np.int64) << 32 | cols.astype(np.int64), return_counts=True)
+    return pairs >> 32, (pairs & 0xFFFFFFFF).astype(np.int32), times
 
-def predict(chain: Chain, owner: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
+
+def predict(chain: Chain, owner: np.ndarray, cols: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros((len(chain.weights), n))
     for k, w in enumerate(chain.weights):
-        z = np.bincount(owner, weights=w[cols], minlength=n) + w[-1]
+        z = np.bincount(owner, weights=np.log1p(times) * w[cols], minlength=n) + w[-1]
         for j in range(k):
             z += w[chain.width + j] * out[j]
         out[k] = sigmoid(z)
@@ -122,19 +126,20 @@ def places_of(texts: pa.Array, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return counts[0], counts[1]
 
 
-def columns_of(texts: pa.Array, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The (text, column) pairs of features that were chosen."""
-    found, base = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32))], 0
+def columns_of(texts: pa.Array, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The (text, column) pairs of features that were chosen, and how often each occurs."""
+    found, base = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64))], 0
     for piece in slices([pa.record_batch([texts], names=["_text"])], "_text"):
-        owner, places = document_features(piece.column(0))
+        places, owner = feature_places(piece.column(0))
         cols = place[places]
-        found.append((owner[cols >= 0] + base, cols[cols >= 0]))
+        owner, cols, times = times_of(owner[cols >= 0], cols[cols >= 0])
+        found.append((owner + base, cols, times))
         base += piece.num_rows
-    owner, cols = (np.concatenate(x) for x in zip(*found))
-    return owner, cols
+    owner, cols, times = (np.concatenate(x) for x in zip(*found))
+    return owner, cols, times
 
 
-def chained(y: dict[str, np.ndarray], place: np.ndarray, strong: np.ndarray, owner: np.ndarray, cols: np.ndarray) -> Chain:
+def chained(y: dict[str, np.ndarray], place: np.ndarray, strong: np.ndarray, owner: np.ndarray, cols: np.ndarray, times: np.ndarray) -> Chain:
     """The chain of the label columns y, in their order; strong says which feature columns are the strongest terms."""
     main = list(y)[-1]
     n, width = len(y[main]), len(strong)
@@ -148,7 +153,7 @@ def chained(y: dict[str, np.ndarray], place: np.ndarray, strong: np.ndarray, own
     for k, name in enumerate(names):
         rows = np.concatenate([owner, *[np.arange(n)] * k])
         all_cols = np.concatenate([cols, *[np.full(n, width + j) for j in range(k)]]).astype(np.int64)
-        values = np.concatenate([np.ones(len(cols)), *out_of_fold[:k]])
+        values = np.concatenate([np.log1p(times), *out_of_fold[:k]])
         for f in range(FOLDS if n else 0):
             inside = fold[rows] != f
             kept = np.flatnonzero(fold != f)
@@ -213,14 +218,15 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("toxic"
 
     def featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, cols = columns_of(batch.column(1), shared.value)
-            yield pa.record_batch([batch.column(0).take(pa.array(owner)), pa.array(cols)], names=["_id", "col"])
+            owner, cols, times = columns_of(batch.column(1), shared.value)
+            yield pa.record_batch([batch.column(0).take(pa.array(owner)), pa.array(cols), pa.array(times)], names=["_id", "col", "times"])
 
-    pairs = sample.select(F.col("_id").cast("bigint").alias("_id"), "_text").mapInArrow(featured, "_id bigint, col int").toArrow()
+    pairs = sample.select(F.col("_id").cast("bigint").alias("_id"), "_text").mapInArrow(featured, "_id bigint, col int, times bigint").toArrow()
     owner = np.searchsorted(ids, local(pairs, "_id").to_numpy()) if pairs.num_rows else np.zeros(0, dtype=np.int64)
     cols = local(pairs, "col").to_numpy() if pairs.num_rows else np.zeros(0, dtype=np.int32)
+    times = local(pairs, "times").to_numpy() if pairs.num_rows else np.zeros(0, dtype=np.int64)
     order = np.lexsort((cols, owner))
-    return chained(y, place, strong, owner[order], cols[order])
+    return chained(y, place, strong, owner[order], cols[order], times[order])
 
 
 def toxicity(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col: str = "doc_id") -> DataFrame:
