@@ -7,7 +7,7 @@ import re
 from collections import defaultdict
 
 import pytest
-from cases import LONG, nasty, none, prose, table
+from cases import LONG, SCHEMA, nasty, none, prose, table
 
 from tidegrid.llm import jaccard, suffixes
 from tidegrid.llm.columnar import _FOLD
@@ -63,6 +63,48 @@ def test_join_is_like_brute_force(spark, seed, limit, t):
     assert found == pytest.approx(brute_pairs(list(enumerate(texts)), 3, t))
 
 
+def brute_groups(docs: list[tuple[int, str | None]], n: int, t: float) -> set[tuple[int, int, int]]:
+    """doc_id, class_id, links of distinct rows."""
+    docs = sorted(set(docs), key=lambda d: (d[0], d[1] or ""))
+    sets = [grams(x, n) for _, x in docs]
+    like = lambda x, y: bool(x & y) and len(x & y) / len(x | y) >= t - 1e-12
+    near = [[j for j, y in enumerate(sets) if j != i and like(x, y)] for i, x in enumerate(sets)]
+    root = list(range(len(docs)))
+    for _ in docs:
+        for i, js in enumerate(near):
+            root[i] = min([root[i], *(root[j] for j in js)])
+    least = {r: min(docs[i][0] for i in range(len(docs)) if root[i] == r) for r in set(root)}
+    return {(k, least[root[i]], len(near[i])) for i, (k, _) in enumerate(docs)}
+
+
+@pytest.mark.parametrize(("seed", "limit", "t", "block"), [(1, 2_000_000, 0.6, 512), (2, 0, 0.6, 2), (4, 5, 0.3, 3)])
+def test_groups_are_like_brute_force(spark, seed, limit, t, block):
+    texts = near_copies(seed)
+    found = jaccard.groups(table(spark, texts), 3, t, limit, block).collect()
+    assert len(found) == len(texts) and {tuple(r) for r in found} == brute_groups(list(enumerate(texts)), 3, t)
+
+
+def test_groups_of_nasty_rows(spark):
+    docs = nasty(spark)
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
+    found = jaccard.groups(docs).collect()
+    assert {tuple(r) for r in found} == brute_groups(rows, 3, 0.6) and len(found) == len(set(rows))
+    assert jaccard.groups(none(spark)).count() == 0
+
+
+def test_many_near_copies_make_few_rows(spark, monkeypatch):
+    """Rows that leave a task follow the texts, not their pairs, however a large group is dealt into blocks."""
+    words = [f"w{k}" for k in range(120)]
+    texts = [" ".join([*words[:k % 110], f"new{k}", *words[k % 110 + 1:]]) for k in range(300)]
+    docs = jaccard.keyed(table(spark, texts))
+    members, order = jaccard.classed(docs, 3, 0)
+    found = jaccard.similar_classes(docs, members, order, counted=True, block=100)
+    n = found.count()
+    assert n <= 300 * 3
+    assert {(r.class_id, r.links) for r in jaccard.groups(table(spark, texts)).collect()} == {(0, 299)}
+    assert [r.doc_id for r in jaccard.one_of_each(table(spark, texts)).collect()] == [0]
+
+
 def test_join_of_nasty_rows(spark):
     docs = nasty(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
@@ -75,7 +117,10 @@ def test_one_of_each_keeps_the_least(spark):
     docs = nasty(spark)
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id or -1) for r in kept.collect()) == sorted([1, 1, 3, 4, -1, 5, 6, 8, 8, 9, -1])
+    assert sorted((r.doc_id or -1) for r in kept.collect()) == sorted([1, 3, 4, -1, 5, 6, 8, 8, 9, -1])
+    rows = [(None, "a text that has no id", "en", "s", 1), (None, "a text that has no id", "en", "s", 2), (None, "A text that has no id!", "en", "s", 3), (2, "two texts of one id", "en", "s", 4), (2, "and this is the other", "en", "s", 5), (1, "two texts of one id", "en", "s", 6)]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id or 0, r.text.lower().strip("!")) for r in kept) == [(0, "a text that has no id"), (1, "two texts of one id"), (2, "and this is the other")]
     assert jaccard.one_of_each(none(spark)).count() == 0
 
 

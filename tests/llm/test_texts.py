@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import random
 from collections import defaultdict
 from pathlib import Path
@@ -10,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
-from cases import LONG, nasty, none, prose, table
+from cases import LONG, SCHEMA, nasty, none, prose, table
 
 from tidegrid.llm import media, packing, phrases, pictures, pieces, queries, sharding, warc
 
@@ -86,8 +87,25 @@ def test_damaged_warc(spark, tmp_path):
     (folder / "b.warc").write_bytes(b"no record" + record(b"four"))
     (folder / "c.warc").write_bytes(record(b"five")[:-6])
     (folder / "e.warc").write_bytes(b"")
-    found = sorted((Path(r.file).name, bytes(r.body), r.whole) for r in warc.read(spark, str(folder), 50).collect())
-    assert found == [("a.warc", b"one", True), ("a.warc", b"two", True), ("c.warc", b"fi", False)]
+    broken = len(record(b"one") + record(b"two"))
+    for chunk in (50, 1 << 20):
+        found = sorted((Path(r.file).name, r.at, r.body and bytes(r.body), r.whole) for r in warc.read(spark, str(folder), chunk).collect())
+        assert found == [("a.warc", 0, b"one", True), ("a.warc", len(record(b"one")), b"two", True), ("a.warc", broken, None, False), ("b.warc", 0, None, False), ("c.warc", 0, b"fi", False)]
+
+
+@pytest.mark.parametrize("chunk", [1000, 1 << 20])
+def test_long_headers_and_compressed_records(spark, tmp_path, chunk):
+    """Headers of 200 KiB don't end a file, and gzip members are records as well as plain ones."""
+    record = lambda k, body: f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: http://h/{'x' * 200_000 if k % 7 == 3 else k}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    bodies = [np.random.default_rng(k).bytes(k * 30) + b"WARC/1.0\r\nno header" * (k % 3) for k in range(30)]
+    folder = tmp_path / "z"
+    folder.mkdir()
+    (folder / "plain.warc").write_bytes(b"".join(record(k, x) for k, x in enumerate(bodies)))
+    (folder / "packed.warc.gz").write_bytes(b"".join(gzip.compress(record(k, x)) for k, x in enumerate(bodies)))
+    found = warc.read(spark, str(folder), chunk).collect()
+    for name in ("plain.warc", "packed.warc.gz"):
+        mine = sorted((r for r in found if r.file.endswith(name)), key=lambda r: r.at)
+        assert [bytes(r.body) for r in mine] == bodies and all(r.whole for r in mine)
 
 
 def test_first_fit_is_like_brute_force():
@@ -119,9 +137,17 @@ def test_packing_covers_all_words(spark):
     assert packing.pack(none(spark)).count() == 0
 
 
+def test_groups_are_even_whatever_ids_are_null_or_repeat(spark):
+    rows = [(None if k % 2 else k % 5, f"a text {k if k % 3 else 'again'}", "en", "s", 9) for k in range(1200)]
+    count = defaultdict(int)
+    for r in packing.pack(spark.createDataFrame(rows, SCHEMA), group_rows=100).collect():
+        count[r.pack_group] += 1
+    assert len(count) == 12 and sum(count.values()) == 1200 and max(count.values()) <= 160
+
+
 def test_shards_have_the_mixture(spark):
     docs = table(spark, prose(300, 5)).selectExpr("doc_id", "text", "lang", "CASE WHEN doc_id % 10 = 0 THEN 'rare' WHEN doc_id % 3 = 0 THEN NULL ELSE 'hot' END AS source", "n_chars")
-    rows = sharding.shards(docs, rows_per_shard=50, bucket_rows=20).collect()
+    rows = sharding.shards(docs, rows_per_shard=50).collect()
     assert sorted(r.doc_id for r in rows) == list(range(300))
     count = defaultdict(lambda: defaultdict(int))
     for r in rows:

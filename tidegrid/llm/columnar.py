@@ -174,6 +174,8 @@ _FOLD[[c for c in range(128) if not chr(c).isalnum()]] = 32
 #: What fold() does, for DuckDB's translate() and regular expressions over {text}.
 FOLDED_SQL = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ', 'abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ')"
 FOLDED_WORD = "[a-z0-9\\x{80}-\\x{10FFFF}]+"
+#: What any folded word has, for Spark's regular expressions over texts as they are.
+FOLDED_LETTER = "[A-Za-z0-9\\x{80}-\\x{10FFFF}]"
 
 
 def fold(data: np.ndarray) -> np.ndarray:

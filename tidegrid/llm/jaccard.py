@@ -11,7 +11,8 @@ class, and classes are joined; its members share each answer.
    the list, the sizes that length and position still allow are one range of a block, so whole blocks are skipped (index-level skipping).
 3. Answers. Candidate pairs gather at a leader, the least class among a class's candidates. Of each set there only the difference to the
    leader is kept; the overlap of two sets follows from the leader's size and their two differences, so the answer for a set is
-   derived from that of a similar set instead of intersecting it anew (answer-level skipping).
+   derived from that of a similar set instead of intersecting it anew (answer-level skipping). A leader of many classes has them dealt into blocks of
+   about BLOCK, and a task holds the sets of two blocks, never of a whole group.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrid.llm.columnar import FOLDED_SQL, FOLDED_WORD, distinct_pairs, fold, member, mix, ngram_hashes, pieces_of, ragged, slices, span_hashes, utf8, words
-from tidegrid.llm.shared import Sent, slots, stored
+from tidegrid.llm.columnar import FOLDED_LETTER, FOLDED_SQL, FOLDED_WORD, distinct_pairs, fold, member, mix, ngram_hashes, pieces_of, ragged, slices, span_hashes, utf8, words
+from tidegrid.llm.shared import Sent, in_arrow, owned, scratch, shared_folder, slots, stored
 
 GRAM, THRESHOLD = 3, 0.6
 #: A gram or word that occurs at least so often counts as frequent.
@@ -33,7 +34,13 @@ FREQUENT = 16
 #: Frequent grams, frequent words and candidate classes are sent to the scan if no more than this. Beyond it, FREQUENT is doubled (the
 #: result doesn't depend on it) and candidate classes reach the documents by a join.
 BROADCAST_KEYS = 2_000_000
+#: Classes of one leader that lie together in one block.
+BLOCK = 512
+#: Classes that a task remembers to have put into the index; beyond, some are put there twice, which changes nothing.
+SEEN = 1 << 20
 CLASS_BITS = 6
+#: What stands for a null id inside one_of_each: it comes behind all others.
+NO_ID = 2**63 - 1
 CLASSES, BY_GRAM, BY_WORD = 0, 1, 2
 
 
@@ -70,7 +77,10 @@ def packed(buckets: int, keys: np.ndarray, *columns: np.ndarray) -> tuple[np.nda
 
 
 def statistics(docs: DataFrame, n: int, buckets: int) -> DataFrame:
-    """Rows of kind, a, b: doc_id and class of each document with words; frequent grams (upper 32 bits) and frequent words with their counts."""
+    """Rows of kind, a, b, c: doc_id, class and tie of each row with words; frequent grams (upper 32 bits) and frequent words with their counts.
+
+    Counts are added up for many documents at once before they move, so that what stands in every document is sent but once by each.
+    """
     step = 1 << 20
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,48 +88,57 @@ def statistics(docs: DataFrame, n: int, buckets: int) -> DataFrame:
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            ids, cls, grams, used = (np.concatenate(x) for x in zip(*held))
+            ids, ties, cls, grams, used = (np.concatenate(x) for x in zip(*held))
+            held.clear()
             used, times = np.unique(used, return_counts=True)
-            for kind, keys, columns in ((CLASSES, mix(cls), (ids, cls)), (BY_GRAM, grams, ((grams >> np.uint64(32)).astype(np.uint32),)), (BY_WORD, used, (used, times))):
+            grams, often = np.unique((grams >> np.uint64(32)).astype(np.uint32), return_counts=True)
+            parts = -(-often // 255)  # a count has one byte; more of a gram take several entries
+            often = np.minimum(often.repeat(parts) - ragged(np.zeros(len(parts), dtype=np.int64), parts) * 255, 255).astype(np.uint8)
+            grams = grams.repeat(parts)
+            for kind, keys, columns in ((CLASSES, mix(cls), (ids, cls, ties)), (BY_GRAM, grams.astype(np.uint64) << np.uint64(32), (grams, often)), (BY_WORD, used, (used, times))):
                 there, blobs = packed(buckets, keys, *columns)
-                blobs = blobs if len(blobs) == 2 else [*blobs, pa.nulls(len(there), pa.binary())]
-                yield pa.record_batch([pa.array(np.full(len(there), kind, dtype=np.int32)), pa.array(there.astype(np.int32)), *blobs], names=["kind", "bucket", "a", "b"])
+                blobs = blobs if len(blobs) == 3 else [*blobs, pa.nulls(len(there), pa.binary())]
+                yield pa.record_batch([pa.array(np.full(len(there), kind, dtype=np.int32)), pa.array(there.astype(np.int32)), *blobs], names=["kind", "bucket", "a", "b", "c"])
 
         for piece in slices(batches, "text"):
-            hashes, bounds = folded_words(piece.column(1))
+            hashes, bounds = folded_words(piece.column(2))
             _, grams, _, cls = sets_of(hashes, bounds, n)
             some = cls != 0
-            held.append((piece.column(0).to_numpy()[some], cls[some], grams, hashes))
+            held.append((piece.column(0).to_numpy()[some], piece.column(1).to_numpy()[some], cls[some], grams, hashes))
             size += len(grams)
             if size >= step:
                 yield from out()
-                held, size = [], 0
+                size = 0
         if held:
             yield from out()
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams: list[np.ndarray] = []
+        grams: list[tuple[np.ndarray, np.ndarray]] = []
         used: list[tuple[np.ndarray, np.ndarray]] = []
+        read = lambda blob, kind: np.frombuffer(blob.as_buffer(), dtype=kind)
 
-        def rows(kind: int, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def rows(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
             for k in range(0, len(a), 1 << 16):
                 part = slice(k, k + (1 << 16))
-                yield pa.record_batch([pa.array(np.full(len(a[part]), kind, dtype=np.int32)), pa.array(a[part].astype(np.int64)), pa.array(b[part].view(np.int64))], names=["kind", "a", "b"])
+                third = pa.nulls(len(a[part]), pa.int64()) if c is None else pa.array(c[part])
+                yield pa.record_batch([pa.array(np.full(len(a[part]), kind, dtype=np.int32)), pa.array(a[part].astype(np.int64)), pa.array(b[part].view(np.int64)), third], names=["kind", "a", "b", "c"])
 
         for batch in batches:
-            for kind, a, b in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+            for kind, a, b, c in zip(batch.column(0).to_pylist(), *batch.columns[2:]):
                 if kind == CLASSES:
-                    yield from rows(CLASSES, np.frombuffer(a.as_buffer(), dtype=np.int64), np.frombuffer(b.as_buffer(), dtype=np.int64))
+                    yield from rows(CLASSES, *(read(x, np.int64) for x in (a, b, c)))
                 elif kind == BY_GRAM:
-                    grams.append(np.frombuffer(a.as_buffer(), dtype=np.uint32))
+                    grams.append((read(a, np.uint32), read(b, np.uint8)))
                 else:
-                    used.append((np.frombuffer(a.as_buffer(), dtype=np.uint64), np.frombuffer(b.as_buffer(), dtype=np.int64)))
+                    used.append((read(a, np.uint64), read(b, np.int64)))
         if grams:
-            all_grams = np.sort(np.concatenate(grams))
+            keys, often = (np.concatenate(x) for x in zip(*grams))
             grams.clear()
-            first = np.flatnonzero(np.append(True, all_grams[1:] != all_grams[:-1]))
-            times = np.diff(np.append(first, len(all_grams)))
-            yield from rows(BY_GRAM, all_grams[first[times >= FREQUENT]].astype(np.int64), times[times >= FREQUENT])
+            order = np.argsort(keys, kind="stable")
+            keys, often = keys[order], often[order]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            times = np.add.reduceat(often, first, dtype=np.int64)
+            yield from rows(BY_GRAM, keys[first[times >= FREQUENT]].astype(np.int64), times[times >= FREQUENT])
         if used:
             words_, times = (np.concatenate(x) for x in zip(*used))
             words_, at = np.unique(words_, return_inverse=True)
@@ -127,8 +146,8 @@ def statistics(docs: DataFrame, n: int, buckets: int) -> DataFrame:
             yield from rows(BY_WORD, words_[total >= FREQUENT].view(np.int64), total[total >= FREQUENT])
             yield from rows(BY_WORD, np.zeros(1, dtype=np.int64), total.sum(keepdims=True))  # all words, under 0
 
-    spreads = docs.select("doc_id", "text").mapInArrow(spread, "kind int, bucket int, a binary, b binary")
-    return spreads.repartitionById(buckets, F.col("bucket")).mapInArrow(count, "kind int, a bigint, b bigint")
+    spreads = in_arrow(docs.select("doc_id", "tie", "text"), spread, "kind int, bucket int, a binary, b binary, c binary")
+    return in_arrow(spreads.repartitionById(buckets, F.col("bucket")), count, "kind int, a bigint, b bigint, c bigint")
 
 
 @dataclass
@@ -259,8 +278,17 @@ def candidates(docs: DataFrame, n: int, t: float, buckets: int, order: Order) ->
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        seen: set[int] = set()
         size = 0
 
+        def fresh(c: int) -> bool:
+            if not c or c in seen:
+                return False
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(c)
+            return True
+
         def out() -> pa.RecordBatch:
             gram, cls, n_grams, pos = (np.concatenate(x) for x in zip(*held))
             spread = mix(gram)
@@ -270,7 +298,7 @@ def candidates(docs: DataFrame, n: int, t: float, buckets: int, order: Order) ->
         for piece in slices(batches, "text"):
             owner, keys, cls = ordered(*folded_words(piece.column(0)), n, known.value)
             count = np.bincount(owner, minlength=len(cls))
-            take = np.minimum(prefix_size(count, t), count)
+            take = np.where([fresh(c) for c in cls.tolist()], np.minimum(prefix_size(count, t), count), 0)
             start = np.cumsum(count) - count
             at = ragged(start, take)
             pos = ragged(np.zeros(len(take), dtype=np.int64), take)
@@ -295,108 +323,178 @@ def candidates(docs: DataFrame, n: int, t: float, buckets: int, order: Order) ->
             for k in range(0, len(low), 1 << 16):
                 yield pa.record_batch([pa.array(low[k : k + (1 << 16)].view(np.int64)), pa.array(high[k : k + (1 << 16)].view(np.int64))], names=["a", "b"])
 
-    entries = docs.select("text").mapInArrow(index, "bucket int, gram binary, cls binary, size binary, pos binary")
-    return entries.repartitionById(buckets, F.col("bucket")).mapInArrow(join, "a bigint, b bigint").distinct()
+    entries = in_arrow(docs.select("text"), index, "bucket int, gram binary, cls binary, size binary, pos binary")
+    return in_arrow(entries.repartitionById(buckets, F.col("bucket")), join, "a bigint, b bigint").distinct()
 
 
 def shipped_sets(docs: DataFrame, ships: DataFrame, n: int, limit: int) -> DataFrame:
-    """leader, class and grams for each row of ships (cls, rep, leader): the set of document rep goes to the leader."""
+    """place, class, docs and grams for each row of ships (cls, rep, docs, place): the set of document rep goes to the place."""
     spark = docs.sparkSession
     small = ships.count() <= limit
     known = None
+    names = ["cls", "rep", "docs", "place"]
     if small:
         table = ships.orderBy("cls").toArrow()
-        known = spark.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("cls", "rep", "leader")))
+        known = spark.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in names))
 
     def grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
             _, grams, size, cls = sets_of(*folded_words(piece.column(1)), n)
             signed, end = cls.view(np.int64), np.cumsum(size)
             if known is None:
-                at, leader = np.flatnonzero(cls != 0), signed
+                at = np.flatnonzero(cls != 0)
+                docs = place = signed[at]
             else:
-                keys, rep, leaders = known.value
+                keys, rep, count, places = known.value
                 low, high = np.searchsorted(keys, signed, "left"), np.searchsorted(keys, signed, "right")
                 at = np.repeat(np.arange(len(cls)), high - low)
                 hit = ragged(low, high - low)
                 mine = rep[hit] == piece.column(0).to_numpy()[at]
-                at, leader = at[mine], leaders[hit[mine]]
-            blob = pieces_of(grams.view(np.uint8), (end - size)[at] * 8, end[at] * 8)
-            yield pa.record_batch([pa.array(leader if known is not None else leader[at]), pa.array(signed[at]), blob], names=["leader", "cls", "grams"])
+                at, docs, place = at[mine], count[hit[mine]], places[hit[mine]]
+            for k in range(0, len(at), 1 << 10):
+                part = at[k : k + (1 << 10)]
+                blob = pieces_of(grams.view(np.uint8), (end - size)[part] * 8, end[part] * 8)
+                yield pa.record_batch([pa.array(place[k : k + (1 << 10)]), pa.array(signed[part]), pa.array(docs[k : k + (1 << 10)]), blob], names=["place", "cls", "docs", "grams"])
 
+    schema = "place bigint, cls bigint, docs bigint, grams binary"
     rows = docs.select("doc_id", "text")
     if small:
-        return rows.mapInArrow(grams, "leader bigint, cls bigint, grams binary")
+        return in_arrow(rows, grams, schema)
     rows = rows.join(ships.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = rows.mapInArrow(grams, "leader bigint, cls bigint, grams binary").dropDuplicates(["cls"]).select("cls", "grams")
-    return ships.join(sets, "cls").select("leader", "cls", "grams")
-
-
-def overlaps(sets: dict[int, np.ndarray], pairs: list[tuple[int, int]]) -> list[int]:
-    """|a & b| for each pair, from the sets' differences to the one that most pairs have; sets are sorted arrays."""
-    times: dict[int, int] = {}
-    for a, b in pairs:
-        times[a] = times.get(a, 0) + 1
-        times[b] = times.get(b, 0) + 1
-    leader = sets[max(times, key=lambda c: (times[c], -c))]
-    lost, added = {}, {}
-    for c in times:
-        x = sets[c]
+    sets = in_arrow(rows, grams, schema).dropDuplicates(["cls"]).select("cls", "grams")
+    return ships.join(sets, "cls").select("place", "cls", "docs", "grams")
+
+
+def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """|sets[a] & sets[b]| for each pair of numbers, from the sets' differences to the one that most pairs have; sets are sorted arrays."""
+    leader = sets[int(np.bincount(np.concatenate([a, b]), minlength=len(sets)).argmax())]
+    lost, lacking, added = np.zeros(len(sets), dtype=np.int64), [], []
+    for k, x in enumerate(sets):
         both = member(x, leader)
-        added[c] = x[~both]
         gone = np.ones(len(leader), dtype=bool)
         gone[np.searchsorted(leader, x[both])] = False
-        lost[c] = np.flatnonzero(gone)
-    out = []
-    for a, b in pairs:
-        la, lb = lost[a], lost[b]
-        if len(la) + len(added[a]) > len(sets[a]) and len(lb) + len(added[b]) > len(sets[b]):  # neither is like the leader
-            out.append(int(member(sets[a], sets[b]).sum()))
-        else:
-            out.append(len(leader) - len(la) - len(lb) + int(member(la, lb).sum()) + int(member(added[a], added[b]).sum()))
+        lacking.append(np.flatnonzero(gone))
+        added.append(x[~both])
+        lost[k] = len(lacking[-1])
+    # A difference is coded by the leader's place that is lacking, or, behind these, by the number of the gram that is added.
+    names, coded = np.unique(np.concatenate(added), return_inverse=True)
+    more = np.array([len(x) for x in added])
+    ends = np.cumsum(more)
+    codes = [np.concatenate([x, len(leader) + coded[e - m : e]]) for x, e, m in zip(lacking, ends, more)]
+    length = lost + more
+    start, flat = np.cumsum(length) - length, np.concatenate(codes)
+    out = len(leader) - lost[a] - lost[b]
+    order = np.argsort(a, kind="stable")
+    mark = np.zeros(len(leader) + len(names), dtype=bool)
+    edges = np.append(np.flatnonzero(np.append(True, a[order][1:] != a[order][:-1])), len(order))
+    for low, high in zip(edges[:-1], edges[1:]):
+        mine = order[low:high]
+        own, others = codes[a[mine[0]]], b[mine]
+        if not len(own):
+            continue
+        mark[own] = True
+        stop = np.cumsum(length[others])
+        sums = np.append(0, np.cumsum(mark[flat[ragged(start[others], length[others])]]))
+        out[mine] += sums[stop] - sums[stop - length[others]]
+        mark[own] = False
     return out
 
 
-def answered(groups: DataFrame, t: float) -> DataFrame:
-    """Pairs of classes with similarity t or more; groups has, by leader, its pairs (a, b) and its sets (a, null, grams)."""
-
-    def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leader, sets, pairs = None, {}, []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            if pairs:
-                found = [(a, b, n / (len(sets[a]) + len(sets[b]) - n)) for (a, b), n in zip(pairs, overlaps(sets, pairs)) if n >= needed(np.float64(len(sets[a])), np.float64(len(sets[b])), t)]
-                if found:
-                    a, b, s = zip(*found)
-                    yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["a", "b", "jaccard"])
+def least_of_linked(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n numbers, the least one that a chain of pairs links it to."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
 
-        for batch in batches:
-            for one, a, b, grams in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                if one != leader:
-                    yield from out()
-                    leader, sets, pairs = one, {}, []
-                if b is None:
-                    sets[a] = np.frombuffer(grams.as_buffer(), dtype=np.uint64)
-                else:
-                    pairs.append((a, b))
-        yield from out()
 
-    return groups.mapInArrow(answer, "a bigint, b bigint, jaccard double")
+def answered(groups: DataFrame, t: float, counted: bool) -> DataFrame:
+    """Pairs of classes with similarity t or more; groups has, by place, its pairs (a, b) and its sets (a, null, docs, grams).
 
+    counted: instead of pairs, for each class that has some in a place, how many documents they lead to there, and the least class that they link it to.
+    """
+    schema = "cls bigint, links bigint, root bigint" if counted else "a bigint, b bigint, jaccard double"
+
+    def out(sets: dict[int, tuple[np.ndarray, int]], pairs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if not pairs:
+            return
+        keys = np.sort(np.fromiter(sets, dtype=np.int64, count=len(sets)))
+        a, b = (np.searchsorted(keys, np.concatenate(x)) for x in zip(*pairs))
+        arrays = [sets[k][0] for k in keys.tolist()]
+        size = np.array([len(x) for x in arrays])
+        both = overlaps(arrays, a, b)
+        like = both >= needed(size[a].astype(float), size[b].astype(float), t)
+        a, b, both = a[like], b[like], both[like]
+        if not len(a):
+            return
+        if not counted:
+            yield pa.record_batch([pa.array(keys[a]), pa.array(keys[b]), pa.array(both / (size[a] + size[b] - both))], names=["a", "b", "jaccard"])
+            return
+        docs = np.array([sets[k][1] for k in keys.tolist()])
+        links = np.bincount(a, weights=docs[b], minlength=len(keys)) + np.bincount(b, weights=docs[a], minlength=len(keys))
+        root = least_of_linked(len(keys), a, b)
+        some = np.flatnonzero(links > 0)
+        yield pa.record_batch([pa.array(keys[some]), pa.array(links[some].astype(np.int64)), pa.array(keys[root[some]])], names=["cls", "links", "root"])
 
-def similar_classes(docs: DataFrame, members: DataFrame, order: Order, n: int = GRAM, t: float = THRESHOLD, limit: int = BROADCAST_KEYS) -> DataFrame:
+    def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, sets, pairs = None, {}, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place, a = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            paired = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            b, docs = (batch.column(k).fill_null(0).to_numpy() for k in (2, 3))
+            edges = np.append(np.flatnonzero(np.append(True, place[1:] != place[:-1])), len(place)).tolist()
+            for low, high in zip(edges[:-1], edges[1:]):
+                if place[low] != here:
+                    yield from out(sets, pairs)
+                    here, sets, pairs = place[low], {}, []
+                mine = paired[low:high]
+                if mine.any():
+                    pairs.append((a[low:high][mine], b[low:high][mine]))
+                for k in (np.flatnonzero(~mine) + low).tolist():
+                    sets[int(a[k])] = np.frombuffer(batch.column(4)[k].as_py(), dtype=np.uint64), int(docs[k])
+        yield from out(sets, pairs)
+
+    return in_arrow(groups, answer, schema)
+
+
+def similar_classes(docs: DataFrame, members: DataFrame, order: Order, n: int = GRAM, t: float = THRESHOLD, limit: int = BROADCAST_KEYS, counted: bool = False, block: int = BLOCK) -> DataFrame:
     spark = docs.sparkSession
     buckets = slots(spark, docs)
     pairs = stored(spark, candidates(docs, n, t, buckets, order))
     sides = pairs.select(F.col("a").alias("cls"), F.col("b").alias("other")).union(pairs.select("b", "a"))
     leaders = sides.groupBy("cls").agg(F.least(F.col("cls"), F.min("other")).alias("leader"))
-    led = pairs.join(leaders.withColumnRenamed("cls", "a"), "a").select("leader", "a", "b")
-    led = stored(spark, led)
-    ships = led.select("leader", F.col("a").alias("cls")).union(led.select("leader", "b")).distinct()
-    ships = stored(spark, ships.join(members.groupBy("cls").agg(F.min("doc_id").alias("rep")), "cls").select("cls", "rep", "leader"))
-    shipped = shipped_sets(docs, ships, n, limit).select("leader", F.col("cls").alias("a"), F.lit(None).cast("bigint").alias("b"), "grams")
-    groups = shipped.union(led.select("leader", "a", "b", F.lit(None).cast("binary").alias("grams")))
-    return answered(groups.repartition(buckets, "leader").sortWithinPartitions("leader"), t)
+    led = stored(spark, pairs.join(leaders.withColumnRenamed("cls", "a"), "a").select("leader", "a", "b"))
+    sides = led.select("leader", F.col("a").alias("cls")).union(led.select("leader", "b")).distinct()
+    large = sides.groupBy("leader").agg(F.count("*").alias("n")).where(F.col("n") > block).select("leader", F.ceil(F.col("n") / block).alias("blocks"))
+    dealt = lambda c: F.pmod(F.xxhash64(F.lit(3), c), F.coalesce("blocks", F.lit(1)))
+    i, j = dealt("a"), dealt("b")
+    placed = stored(spark, led.join(large, "leader", "left").select(F.xxhash64("leader", F.least(i, j), F.greatest(i, j)).alias("place"), "a", "b"))
+    ships = placed.select("place", F.col("a").alias("cls")).union(placed.select("place", "b")).distinct()
+    standing = members.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("docs"))
+    ships = stored(spark, ships.join(standing, "cls").select("cls", "rep", "docs", "place"))
+    shipped = shipped_sets(docs, ships, n, limit).select("place", F.col("cls").alias("a"), F.lit(None).cast("bigint").alias("b"), "docs", "grams")
+    groups = shipped.union(placed.select("place", "a", "b", F.lit(None).cast("bigint").alias("docs"), F.lit(None).cast("binary").alias("grams")))
+    return answered(groups.repartition(buckets, "place").sortWithinPartitions("place"), t, counted)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, tie (a hash of the text) and text; null ids are left out."""
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text"))
+
+
+def classed(docs: DataFrame, n: int, limit: int) -> tuple[DataFrame, Order]:
+    """doc_id, cls and tie of all rows with words, and the order of grams."""
+    counted = stored(docs.sparkSession, statistics(docs, n, slots(docs.sparkSession, docs)))
+    members = counted.where(F.col("kind") == CLASSES).select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), F.col("c").alias("tie"))
+    return members, order_of(counted, limit)
 
 
 def jaccard_join(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, limit: int = BROADCAST_KEYS) -> DataFrame:
@@ -404,71 +502,128 @@ def jaccard_join(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, l
 
     The least doc_id of a class of equal sets stands for the class: a class of k documents has k - 1 rows, from that document to each
     other (jaccard 1), and two similar classes have one row, from the lesser of their two documents. All pairs of documents follow from
-    these rows, whose number doesn't grow with the square of the copies.
+    these rows: any other document has the partners of the one that its row of jaccard 1 names.
 
     A document of fewer than n words has one gram, all its words; without words (null or empty text) it is in no pair. Null ids are left
     out, and rows that repeat in id and text count once; an id with several texts has a row for each pair its texts are in, none with itself. An empty
-    table gives no rows; further columns are ignored.
+    table gives no rows; further columns are ignored. Where many texts are near copies of one another, rows grow with their square; groups() doesn't.
     """
-    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    counted = stored(docs.sparkSession, statistics(docs, n, slots(docs.sparkSession, docs)))
-    members = counted.where(F.col("kind") == CLASSES).select(F.col("a").alias("doc_id"), F.col("b").alias("cls"))
+    docs = keyed(docs)
+    members, order = classed(docs, n, limit)
     standing = members.groupBy("cls").agg(F.min("doc_id").alias("rep"))
     copies = members.join(standing, "cls").where("doc_id > rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")).distinct()
-    near = similar_classes(docs, members, order_of(counted, limit), n, threshold, limit)
+    near = similar_classes(docs, members, order, n, threshold, limit)
     near = near.join(standing.toDF("a", "ra"), "a").join(standing.toDF("b", "rb"), "b").where("ra != rb")
     near = near.select(F.least("ra", "rb").alias("doc_a"), F.greatest("ra", "rb").alias("doc_b"), "jaccard")
     return copies.union(near)
 
 
-def one_of_each(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns as they are, without those that a chain of similar pairs links to a lesser doc_id.
+def linked_classes(docs: DataFrame, members: DataFrame, order: Order, n: int, threshold: float, limit: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """cls and links, the documents in other classes that are similar to it, of classes that have some; and cls and root, the same for all classes that similar pairs link. Both are stored."""
+    spark = docs.sparkSession
+    found = stored(spark, similar_classes(docs, members, order, n, threshold, limit, True, block))
+    edges = found.where("cls != root").select(F.col("cls").alias("doc_a"), F.col("root").alias("doc_b"))
+    return stored(spark, found.groupBy("cls").agg(F.sum("links").alias("links"))), components(edges).toDF("cls", "root")
+
+
+def groups(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, limit: int = BROADCAST_KEYS, block: int = BLOCK) -> DataFrame:
+    """For each document doc_id, class_id and links: the least doc_id that a chain of similar documents leads to, and how many other documents it is similar to itself.
 
-    Rows that repeat an id all stay or all go; null ids stay.
+    Similar: their n-gram sets have a Jaccard similarity of threshold or more, exactly; all such pairs count, none is listed. A document like no other has its own id and 0,
+    so does one without words (null or empty text). Null ids are left out, and rows that repeat in id and text count once; an id with
+    several texts has a row for each. An empty table gives no rows; further columns are ignored.
+    """
+    docs = keyed(docs)
+    members, order = classed(docs, n, limit)
+    links, roots = linked_classes(docs, members, order, n, threshold, limit, block)
+    rows = members.distinct()
+    by_class = rows.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count_distinct("doc_id").alias("same"))
+    by_class = by_class.join(links, "cls", "left").join(roots, "cls", "left").select("cls", "least", "same", F.coalesce("links", F.lit(0)).alias("near"), F.coalesce("root", "cls").alias("root"))
+    by_class = stored(docs.sparkSession, by_class)
+    class_ids = by_class.groupBy("root").agg(F.min("least").alias("class_id"))
+    facts = by_class.join(class_ids, "root").select("cls", "class_id", (F.col("same") - 1 + F.col("near")).alias("links"))
+    worded = rows.join(facts, "cls").select("doc_id", "class_id", "links")
+    wordless = docs.where(~F.coalesce(F.col("text").rlike(FOLDED_LETTER), F.lit(False))).select("doc_id", "tie").distinct().select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("links"))
+    return worded.union(wordless)
+
+
+def one_of_each(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, limit: int = BROADCAST_KEYS) -> DataFrame:
+    """The rows of docs, all columns as they are, one of each group that chains of similar texts link: the one with the least doc_id (null last), then the least hash of the text.
+
+    Rows without words (null, empty or blank text) all stay, as they are in no group. Of rows that repeat in id and text one stays. An id with several texts loses only those
+    that are in a group with a lesser one. An empty table gives no rows; further columns are kept.
     """
     spark = docs.sparkSession
-    edges = stored(spark, jaccard_join(docs, n, threshold).select("doc_a", "doc_b"))
-    gone = components(edges).where("doc_id != root").select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["gone"], "left_anti")
+    slim = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text"))
+    members, order = classed(slim, n, limit)
+    _, roots = linked_classes(slim, members, order, n, threshold, limit)
+    rows = members.groupBy("doc_id", "tie", "cls").agg(F.count("*").alias("times"))
+    rows = stored(spark, rows.join(roots, "cls", "left").select("doc_id", "tie", "times", F.coalesce("root", "cls").alias("root")))
+    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "tie")).alias("first"), F.sum("times").alias("n")).where("n > 1")
+    marked = rows.join(first, "root").select("doc_id", "tie", (F.col("first") == F.struct("doc_id", "tie")).alias("stays"), "times").where("times > 1 OR NOT stays")
+    marked = stored(spark, marked)
+    mark = ["_i", "_t", "_stays", "_once"]
+    while {c.lower() for c in docs.columns} & set(mark):
+        mark = [c + "_" for c in mark]
+    i, t, stays, once = mark
+    known = docs.join(marked.toDF(i, t, stays, once), (F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)) == F.col(i)) & (F.xxhash64("text") == F.col(t)), "left")
+    kept = known.where(F.coalesce(F.col(stays), F.lit(True)))
+    if not marked.where("stays").limit(1).count():
+        return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    alone = kept.where(F.col(stays).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return alone.union(kept.where(stays).dropDuplicates([i, t]).select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """doc_id and root, the least doc_id it is linked to: pointer jumping, whose rounds grow with the logarithm of the longest chain.
+    """doc_id and root, the least number it is linked to: pointer jumping, whose rounds grow with the logarithm of the longest chain; stored.
 
-    In each round a node takes the least root among its neighbours' roots, its old root takes it too, and roots are followed once.
+    In each round a node takes the least root among its neighbours' roots, its old root takes it too, and roots are followed once. Nulls must not be in edges; repeated
+    edges count once, and none give no rows.
     """
     spark = edges.sparkSession
-    both = stored(spark, edges.select(F.col("doc_a").alias("x"), F.col("doc_b").alias("y")).union(edges.select("doc_b", "doc_a")).distinct())
-    roots = stored(spark, both.groupBy(F.col("x").alias("doc_id")).agg(F.least(F.min("y"), F.col("x")).alias("root")))
-    while True:
-        seen = both.join(roots.toDF("y", "r"), "y").groupBy("x").agg(F.min("r").alias("r"))
-        best = roots.join(seen.withColumnRenamed("x", "doc_id"), "doc_id").select("doc_id", "root", F.least("root", "r").alias("best"))
-        hooks = best.groupBy("root").agg(F.min("best").alias("best")).toDF("doc_id", "hook")
-        moved = best.join(hooks, "doc_id", "left").select("doc_id", "root", F.least("best", F.coalesce("hook", "best")).alias("best"))
-        jumped = moved.alias("m").join(moved.select(F.col("doc_id").alias("best"), F.col("best").alias("next")).alias("n"), "best").select("doc_id", F.col("root").alias("old"), F.least("best", "next").alias("root"))
-        jumped = stored(spark, jumped)
-        changed = jumped.where("root != old").limit(1).count()
-        roots = jumped.select("doc_id", "root")
-        if not changed:
-            return roots
+    with scratch(spark):
+        both = stored(spark, edges.select(F.col("doc_a").alias("x"), F.col("doc_b").alias("y")).union(edges.select("doc_b", "doc_a")).distinct())
+        roots = stored(spark, both.groupBy(F.col("x").alias("doc_id")).agg(F.least(F.min("y"), F.col("x")).alias("root")))
+        while True:
+            seen = both.join(roots.toDF("y", "r"), "y").groupBy("x").agg(F.min("r").alias("r"))
+            best = roots.join(seen.withColumnRenamed("x", "doc_id"), "doc_id").select("doc_id", "root", F.least("root", "r").alias("best"))
+            hooks = best.groupBy("root").agg(F.min("best").alias("best")).toDF("doc_id", "hook")
+            moved = best.join(hooks, "doc_id", "left").select("doc_id", "root", F.least("best", F.coalesce("hook", "best")).alias("best"))
+            jumped = moved.alias("m").join(moved.select(F.col("doc_id").alias("best"), F.col("best").alias("next")).alias("n"), "best").select("doc_id", F.col("root").alias("old"), F.least("best", "next").alias("root"))
+            jumped = stored(spark, jumped)
+            changed = jumped.where("root != old").limit(1).count()
+            roots = jumped.select("doc_id", "root")
+            if not changed:
+                break
+        path = shared_folder(spark)
+        roots.write.parquet(path)
+    return owned(spark, path, roots.schema)
 
 
 ORACLE = f"""
-WITH split AS (
+WITH RECURSIVE split AS (
   SELECT doc_id, regexp_extract_all({FOLDED_SQL.format(text="text")}, '{FOLDED_WORD}') AS w FROM documents
 ), sets AS (
   SELECT doc_id, CASE WHEN len(w) < {GRAM} THEN [array_to_string(w, ' ')]
     ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {GRAM} + 2), lambda i: array_to_string(list_slice(w, i, i + {GRAM} - 1), ' ')))) END AS grams
   FROM split WHERE len(w) > 0
 ), classed AS (
-  SELECT doc_id, grams, len(grams) AS n, min(doc_id) OVER (PARTITION BY grams) AS rep FROM sets
+  SELECT doc_id, grams, len(grams) AS n, min(doc_id) OVER (PARTITION BY grams) AS rep, count(*) OVER (PARTITION BY grams) AS same FROM sets
 ), items AS (
-  SELECT rep, n, unnest(grams) AS g FROM classed WHERE doc_id = rep
+  SELECT rep, n, same, unnest(grams) AS g FROM classed WHERE doc_id = rep
 ), shared AS (
-  SELECT a.rep AS doc_a, b.rep AS doc_b, a.n AS na, b.n AS nb, count(*) AS c
-  FROM items a JOIN items b ON a.g = b.g AND a.rep < b.rep GROUP BY ALL
+  SELECT a.rep AS x, b.rep AS y, a.n AS na, b.n AS nb, b.same AS same, count(*) AS c
+  FROM items a JOIN items b ON a.g = b.g AND a.rep <> b.rep GROUP BY ALL
+), near AS (
+  SELECT x, y, same FROM shared WHERE c >= ceil({THRESHOLD} / (1 + {THRESHOLD}) * (na + nb) - 1e-9)
+), reached AS (
+  SELECT DISTINCT x, x AS y FROM near UNION SELECT r.x, n.y FROM reached r JOIN near n ON r.y = n.x
+), roots AS (
+  SELECT x, min(y) AS root FROM reached GROUP BY x
+), links AS (
+  SELECT x, sum(same) AS links FROM near GROUP BY x
 )
-SELECT rep AS doc_a, doc_id AS doc_b, CAST(1 AS DOUBLE) AS jaccard FROM classed WHERE doc_id > rep
-UNION ALL
-SELECT doc_a, doc_b, CAST(c AS DOUBLE) / (na + nb - c) AS jaccard FROM shared WHERE c >= ceil({THRESHOLD} / (1 + {THRESHOLD}) * (na + nb) - 1e-9)
+SELECT c.doc_id, coalesce(r.root, c.rep) AS class_id, CAST(c.same - 1 + coalesce(l.links, 0) AS BIGINT) AS links
+FROM classed c LEFT JOIN roots r ON r.x = c.rep LEFT JOIN links l ON l.x = c.rep
+UNION ALL SELECT doc_id, doc_id, 0 FROM split WHERE len(w) = 0 OR w IS NULL
 """

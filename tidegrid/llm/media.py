@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.columnar import mix, slices, span_hashes
+from tidegrid.llm.shared import in_arrow
 
 #: Bytes of pictures decoded together.
 BATCH = 8 << 20
@@ -395,4 +396,4 @@ def media(pictures: DataFrame, id_col: str, column: str = "picture") -> DataFram
 
     names = [id_col, *[f.split()[0] for f in SCHEMA.split(", ")]]
     rows = pictures.select(F.col(id_col).cast("bigint").alias(id_col), F.col(column).alias("_picture"))
-    return rows.mapInArrow(run, f"`{id_col}` bigint, {SCHEMA}")
+    return in_arrow(rows, run, f"`{id_col}` bigint, {SCHEMA}")

@@ -1,5 +1,8 @@
 """First-fit decreasing with a tournament tree, run by itself in each of many random groups of documents.
 
+A row's group is a seeded hash of its id, the hash of its text and its number among rows that are equal in both, so that neither null ids nor copies
+gather in one group, and a task that is run again deals its rows as before.
+
 A document of more tokens than a bin holds is cut into full pieces and a rest, so whole texts are packed. The pieces of a
 group go by falling length into the first bin with room. The tree holds each bin's free room at its leaves and the larger
 of two rooms at each inner node; going left wherever the left child has room finds the first fit in as many steps as the
@@ -16,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.columnar import SPACE_CLASS
+from tidegrid.llm.shared import stored
 
 SCHEMA = "pack_group bigint, bin bigint, slot bigint, doc_id bigint, start bigint, n_tokens bigint"
 
@@ -55,13 +59,17 @@ def pack(docs: DataFrame, tokens: Column | None = None, id_col: str = "doc_id",
 
     tokens: each document's length, words between white space unless given. Documents of no tokens (null or empty
     text) take no room and have no row; an empty table gives none. Documents are told apart as rows: repeated rows are packed as often as
-    they occur, and ties in length go by a seeded hash, then id, then start. A null id is kept as null. Further columns are ignored.
+    they occur, and ties in length go by a seeded hash, then id, then start. A null id is kept as null. Groups have group_rows rows on average. A table needs no text if tokens are
+    given; further columns are ignored.
     """
-    groups = max(1, -(-docs.count() // group_rows))
     tokens = word_count() if tokens is None else tokens
-    key = F.xxhash64(F.lit(seed), F.col(id_col))
-    slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), tokens.cast("bigint").alias("n"), key.alias("k")).where("n > 0")
-    slim = slim.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed + 1), "k", F.col("n")), F.lit(groups)))
+    text = F.col("text") if "text" in [c.lower() for c in docs.columns] else F.lit(None)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tie"), tokens.cast("bigint").alias("n")).where("n > 0")
+    counted = stored(docs.sparkSession, rows.groupBy("doc_id", "tie", "n").agg(F.count("*").alias("times")))
+    groups = max(1, -(-(counted.agg(F.sum("times")).first()[0] or 0) // group_rows))
+    each = counted.select("doc_id", "tie", "n", F.explode(F.sequence(F.lit(1).cast("bigint"), "times")).alias("copy"))
+    slim = each.select("doc_id", "n", F.xxhash64(F.lit(seed), "doc_id", "tie", "copy").alias("k"))
+    slim = slim.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed + 1), "k"), F.lit(groups)))
 
     def packed(table: pa.Table) -> pa.Table:
         n, k, ids = (table.column(c).to_numpy(zero_copy_only=False) for c in ("n", "k", "doc_id"))

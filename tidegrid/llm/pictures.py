@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.columnar import ragged, slices, utf8
+from tidegrid.llm.shared import in_arrow
 
 _LUMA = np.array([16, 11, 10, 16, 24, 40, 51, 61, 12, 12, 14, 19, 26, 58, 60, 55, 14, 13, 16, 24, 40, 57, 69, 56, 14, 17, 22, 29, 51, 87, 80, 62, 18, 22, 37, 56, 68, 109, 103, 77, 24, 35, 55, 64, 81, 104, 113, 92, 49, 64, 78, 87, 103, 121, 120, 101, 72, 92, 95, 98, 112, 100, 103, 99])
 _ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
@@ -158,4 +159,4 @@ def drawn(table: DataFrame, id_col: str, text: str) -> DataFrame:
             number = piece.column(0).fill_null(0).to_numpy()
             yield pa.record_batch([piece.column(0), pa.array(jpegs(piece.column(1), number), pa.binary())], names=[id_col, "picture"])
 
-    return table.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text).alias("_text")).mapInArrow(draw, f"`{id_col}` bigint, picture binary")
+    return in_arrow(table.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text).alias("_text")), draw, f"`{id_col}` bigint, picture binary")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.columnar import offsets_of, ragged, slices, span_hashes, utf8
-from tidegrid.llm.shared import Sent
+from tidegrid.llm.shared import Sent, in_arrow
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -319,7 +319,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", decoded: bo
             columns = [piece.column(0), ids] + [coder.decode(ids)] * decoded
             yield pa.record_batch(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col("text")).mapInArrow(run, schema)
+    return in_arrow(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col("text")), run, schema)
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -331,4 +331,4 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
         for batch in batches:
             yield pa.record_batch([batch.column(0), coder.decode(batch.column(1))], names=["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id bigint, text string")
+    return in_arrow(encoded.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")), run, "doc_id bigint, text string")

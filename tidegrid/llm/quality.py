@@ -18,15 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegrid.llm.columnar import distinct_pairs, owners, slices, span_hashes, utf8, words
-from tidegrid.llm.shared import Sent, fit_logistic, sigmoid, stored
+from tidegrid.llm.shared import Sent, fit_logistic, in_arrow, sigmoid, stored, without
 from tidegrid.llm.toxicity import sample_of
 
 #: The labelled rows that the classifier's fit looks at, at most; taken by a seeded hash of doc_id.
 SAMPLE_ROWS = 8_000
 #: How much of the site's log odds counts for a document.
 SITE_WEIGHT = 0.5
-#: Site tables up to so many rows are broadcast; larger ones are joined by a shuffle.
-BROADCAST_SITES = 200_000
 
 _UPPER, _DIGIT, _SYMBOL, _BANG, _BAR = (np.zeros(256, dtype=bool) for _ in range(5))
 _UPPER[65:91] = True
@@ -95,7 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", rows: int =
 
     names = ["_id", "quality", *[f"x{k}" for k in range(FEATURES)]]
     sample = sample_of(docs, labels, ["quality"], id_col, rows).select(F.col("_id").cast("bigint").alias("_id"), F.col("quality").cast("double").alias("quality"), "_text")
-    table = sample.mapInArrow(shaped, "_id bigint, quality double, " + ", ".join(f"x{k} double" for k in range(FEATURES))).toArrow().sort_by("_id")
+    table = in_arrow(sample, shaped, "_id bigint, quality double, " + ", ".join(f"x{k} double" for k in range(FEATURES))).toArrow().sort_by("_id")
     return train(np.column_stack([table.column(c).to_numpy() for c in names[2:]]), table.column("quality").to_numpy() > 0)
 
 
@@ -119,7 +117,7 @@ def scored(docs: DataFrame, model: Classifier, id_col: str, host: str, path: str
             yield pa.record_batch([*piece.columns[:3], pa.array(evidence(shared.value, piece.column(3)))], names=["doc_id", "host", "path", "z"])
 
     site = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")).alias(a) for c, a in ((host, "host"), (path, "path"))]
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *site, F.col("text")).mapInArrow(score, "doc_id bigint, host string, path string, z double")
+    return in_arrow(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *site, F.col("text")), score, "doc_id bigint, host string, path string, z double")
 
 
 def site_posteriors(scores: DataFrame) -> DataFrame:
@@ -159,9 +157,20 @@ def combined(scores: DataFrame, sites: DataFrame, threshold: float) -> DataFrame
 
 
 def sites_of(scores: DataFrame) -> DataFrame:
-    """The posteriors, stored; marked for broadcast only if their number, which grows with the sites, allows it."""
-    sites = stored(scores.sparkSession, site_posteriors(scores))
-    return F.broadcast(sites) if sites.count() <= BROADCAST_SITES else sites
+    """The posteriors, stored. Spark sees the size of what is stored, and broadcasts it if its own bound allows, else joins by a shuffle whose hot sites it splits."""
+    return stored(scores.sparkSession, site_posteriors(scores))
+
+
+def sites_of_urls(pages: DataFrame, url: str = "url") -> DataFrame:
+    """pages with the columns host and path to judge sites of URLs by: the host in lower case, and the first step of the path; null where there is no host.
+
+    Columns of these names come back as host_input and path_input.
+    """
+    pages = without(pages, ["host", "path"])
+    parts = F.regexp_extract(F.col(f"`{url}`"), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    step = F.regexp_extract(F.col(f"`{url}`"), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+(/[^/?#]*)", 1)
+    host = F.when(parts != "", F.lower(parts))
+    return pages.withColumns({"host": host, "path": F.when(host.isNotNull(), F.when(step == "", "/").otherwise(step))})
 
 
 def quality(docs: DataFrame, model: Classifier, threshold: float = 0.5, id_col: str = "doc_id", host: str = "source", path: str = "lang") -> DataFrame:
@@ -176,9 +185,12 @@ def quality(docs: DataFrame, model: Classifier, threshold: float = 0.5, id_col:
 
 
 def keep_good(docs: DataFrame, model: Classifier, threshold: float = 0.5, host: str = "source", path: str = "lang") -> DataFrame:
-    """The rows of docs, all columns as they are, whose quality reaches threshold."""
+    """The rows of docs, all columns as they are, whose quality() reaches threshold.
+
+    Each text is scored once, and the rows are stored with their scores until the sites' posteriors are known. Null and empty texts, null hosts and paths, repeated rows and missing labels
+    are judged as quality() says; an empty table gives no rows; columns may have any name.
+    """
     names = docs.columns
-    sites = sites_of(stored(docs.sparkSession, scored(docs, model, "doc_id", host, path).select("host", "path", "z")))
     shared = Sent(docs.sparkSession, model)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,5 +201,6 @@ def keep_good(docs: DataFrame, model: Classifier, threshold: float = 0.5, host:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *site, F.col("text"))
     out_names = ["row", "host", "path", "z"]
     schema = rows.select("row", "host", "path", F.lit(0.0).alias("z")).schema
-    marked = combined(rows.mapInArrow(score, schema), sites, threshold).where("keep")
+    scores = stored(docs.sparkSession, in_arrow(rows, score, schema))
+    marked = combined(scores, sites_of(scores.select("host", "path", "z")), threshold).where("keep")
     return marked.select(*[F.col(f"row.`{c}`").alias(c) for c in names])

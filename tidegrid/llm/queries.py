@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegrid.llm import jaccard, media, packing, phrases, pictures, pieces, quality, sharding, suffixes, toxicity, warc
 from tidegrid.llm.shared import shared_folder
 
 
-#: The vocabulary file that op6 takes.
-PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The vocabulary file that op6 takes; another one may be named in the environment.
+PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,7 +29,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return toxicity.toxicity(docs, toxicity.fit(docs, toxicity.kinds(table(spark, sf_dir, "labels")), toxicity.KINDS))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard.groups(table(spark, sf_dir, "documents"))
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
-"""What several operators need: shared storage, names that don't clash, fitted linear models."""
+"""What several operators need: shared storage, bounded Arrow batches, names that don't clash, fitted linear models."""
 
 from __future__ import annotations
 
+import atexit
 import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 from pyspark import cloudpickle
@@ -12,13 +15,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows and bytes of the Arrow batches that go to Python, unless the session sets its own: texts may be long, and both sides hold a batch whole.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+#: Bytes of input that one partition of a shuffle is meant for, at most.
+SLOT_BYTES = 32 << 20
+#: Folders that stored() has written, by the scratch() they belong to; the first list is the session's.
+_WRITTEN: list[list[str]] = [[]]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which all executors of a cluster share.
 
-    Only where that setting is empty, as in tests on one machine, a temporary folder takes its place.
+    Where that setting is empty, as in tests, a temporary folder takes its place, if all runs on one machine; a cluster without the setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tidegrid-")
         spark.sparkContext.setCheckpointDir(base)
     elif not spark.sparkContext.getCheckpointDir():
@@ -26,6 +39,43 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared storage; one that is gone already is no error."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What stored() writes inside is deleted at the end; results that read it must be written before."""
+    mine: list[str] = []
+    _WRITTEN.append(mine)
+    try:
+        yield
+    finally:
+        _WRITTEN.remove(mine)
+        for path in mine:
+            deleted(spark, path)
+
+
+@atexit.register
+def _leave() -> None:
+    """Results are lazy, so what they read can go for certain only when the program ends."""
+    spark = SparkSession.getActiveSession()
+    for path in _WRITTEN[0] if spark else []:
+        with suppress(Exception):  # the JVM may have gone before
+            deleted(spark, path)
+
+
+def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow in batches of bounded rows and bytes, so that neither Spark nor the workers hold many long texts at once."""
+    conf = df.sparkSession.conf
+    for key, usual, own in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if conf.get(f"spark.sql.execution.arrow.{key}", usual) == usual:
+            conf.set(f"spark.sql.execution.arrow.{key}", str(own))
+    return df.mapInArrow(run, schema)
+
+
 class Sent:
     """A broadcast of a value whose class goes along, so that executors needn't be able to import it."""
 
@@ -43,11 +93,17 @@ class Sent:
         return self.held
 
 
+def owned(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What has been written to a shared folder, which goes when the scratch() around it ends, or the program."""
+    _WRITTEN[-1].append(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def stored(spark: SparkSession, df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared folder; it survives the loss of executors."""
     path = shared_folder(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return owned(spark, path, df.schema)
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:
@@ -65,14 +121,22 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return out
 
 
+def column_at(df: DataFrame, name: str) -> int:
+    """The place of a column, whatever the case of its name, as Spark takes names."""
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
 def shuffle_key(seed: int, column: str) -> Column:
     """A pseudo-random string by value; a null has one of its own. DuckDB's md5 gives the same."""
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(column).cast("string"), F.lit("null"))))
 
 
 def slots(spark: SparkSession, df: DataFrame) -> int:
-    """Partitions for a shuffle that carries about as much as df's input."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    """Partitions for a shuffle that carries about as much as the files that df reads have: one for each SLOT_BYTES, and those of the session at least."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    total = sum(x for x in sizes if x < 1 << 60)  # Spark gives the largest number to what it knows nothing of
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-total // SLOT_BYTES))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

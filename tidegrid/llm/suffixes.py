@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.llm.columnar import FOLDED_SQL, FOLDED_WORD, _BASE, fold, key_filter, member, mix, owners, pieces_of, ragged, slices, span_hashes, utf8, words
-from tidegrid.llm.shared import slots, stored
+from tidegrid.llm.shared import column_at, in_arrow, slots, stored
 
 DEPTH, GRAM, DIGIT = 50, 8, 10
 #: Recurring grams are sent to the scan if no more than this; beyond, they reach the documents by joins.
@@ -74,7 +74,7 @@ def recurring(docs: DataFrame, depth: int, gram: int) -> DataFrame:
             keys, times = np.unique(g[np.unique(least)], return_counts=True)
             yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(times)], names=["key", "times"])
 
-    counted = docs.select("text").mapInArrow(count, "key bigint, times bigint")
+    counted = in_arrow(docs.select("text"), count, "key bigint, times bigint")
     return counted.groupBy("key").agg(F.sum("times").alias("times")).where("times > 1").select("key")
 
 
@@ -122,9 +122,9 @@ def runs(docs: DataFrame, depth: int, gram: int, limit: int) -> DataFrame:
                 rows = pa.array(of[at])
                 yield pa.record_batch([pa.array(g[least[at]].view(np.int64)), piece.column(0).take(rows), piece.column(1).take(rows)], names=["key", "doc_id", "tie"])
 
-        owned = rows.mapInArrow(own, "key bigint, doc_id bigint, tie bigint").join(keys, "key", "left_semi").groupBy(F.col("doc_id").alias("d"), F.col("tie").alias("t")).agg(F.collect_set("key").alias("keys"))
+        owned = in_arrow(rows, own, "key bigint, doc_id bigint, tie bigint").join(keys, "key", "left_semi").groupBy(F.col("doc_id").alias("d"), F.col("tie").alias("t")).agg(F.collect_set("key").alias("keys"))
         rows = rows.join(owned, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t"))).select("doc_id", "tie", "text", "keys")
-    return rows.mapInArrow(cut, schema)
+    return in_arrow(rows, cut, schema)
 
 
 def equal_groups(tokens: np.ndarray, suffixes: np.ndarray, group: np.ndarray, depth: int, digit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -209,7 +209,7 @@ def spans(docs: DataFrame, depth: int = DEPTH, gram: int = GRAM, digit: int = DI
         if held:
             yield sorted_runs(pa.Table.from_batches(held), depth, digit)
 
-    found = runs(docs, depth, gram, limit).repartition(slots(docs.sparkSession, docs), "key").sortWithinPartitions("key").mapInArrow(radix, "doc_id bigint, tie bigint, at bigint, until bigint, first boolean")
+    found = in_arrow(runs(docs, depth, gram, limit).repartition(slots(docs.sparkSession, docs), "key").sortWithinPartitions("key"), radix, "doc_id bigint, tie bigint, at bigint, until bigint, first boolean")
     mine = Window.partitionBy("doc_id", "tie", "first").orderBy("at", "until")
     reach = F.max(F.col("until") + F.lit(depth)).over(mine.rowsBetween(Window.unboundedPreceding, -1))
     island = found.withColumn("new", F.when(F.col("at") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(mine.rowsBetween(Window.unboundedPreceding, 0)))
@@ -232,11 +232,12 @@ def without_repeats(docs: DataFrame, depth: int = DEPTH, limit: int = BROADCAST_
     """docs with the words of all windows that come again cut from text, so that each such window stays once at most.
 
     Columns and rows stay; n_chars, where there is such a column, is counted again for a text that changed. What goes with a cut word is what stands between it and
-    the next one. A text that is all repeats becomes empty.
+    the next one. A text that is all repeats becomes empty. Null ids are an id like others, that of the first occurrence; null, empty and short texts have no windows and stay as they are; rows that repeat in
+    doc_id and text are one document and are cut alike; an empty table gives no rows; columns may have any name, and text and n_chars may be written in any case.
     """
     names = docs.columns
-    counted = next((k for k, c in enumerate(names) if c == "n_chars"), None)
-    text_at = names.index("text")
+    counted = next((k for k, c in enumerate(names) if c.lower() == "n_chars"), None)
+    text_at = column_at(docs, "text")
     mark = "_cuts"
     while mark in [c.lower() for c in names]:
         mark += "_"
@@ -261,7 +262,7 @@ def without_repeats(docs: DataFrame, depth: int = DEPTH, limit: int = BROADCAST_
                     columns[counted] = pa.array(counts, columns[counted].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(cut, docs.schema)
+    return in_arrow(joined, cut, docs.schema)
 
 
 def shortened(text: str, cuts: list[tuple[int, int]]) -> str:

@@ -5,11 +5,11 @@ earlier ones. In training those are out-of-fold predictions, so that a later mod
 predecessors more than their answers on new documents deserve.
 
 Features say how often, as log(1 + count), a document has a word, or a word that begins with given 4, 5 or 6 bytes (lower case; white space and
-ASCII punctuation separate words). Those that tell the labelled classes apart best, by the z-score of a difference of
-shares, are kept.
+ASCII punctuation separate words). Those that tell the last category's classes apart best, by the z-score of a difference of
+shares, are kept. They are chosen anew for the training rows of each fold, so that a held-out row has no part in its own prediction; copies of a text are in one fold.
 
-The labels table has one column on toxicity. Categories in front of it are levels of the same label: toxic with at least
-one of the strongest terms, and toxic with at least three occurrences of such terms. Pass categories to chain over label columns of one's own.
+The labels table has one column on toxicity and one on quality. kinds() makes two categories of them, toxic prose and toxic junk, which are predicted first, the latter from the
+former too, and then toxicity as such. Pass categories to chain over label columns of one's own.
 """
 
 from __future__ import annotations
@@ -24,14 +24,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.llm.columnar import distinct_pairs, mix, owners, slices, span_hashes, utf8, words
-from tidegrid.llm.shared import Sent, fit_logistic, sigmoid, stored
+from tidegrid.llm.shared import Sent, column_at, fit_logistic, in_arrow, sigmoid, stored
 
 #: Hash table of the features: 2**20 places.
 PLACES = 1 << 20
 PREFIXES = (4, 5, 6)
 #: The labelled rows that a fit looks at, at most; taken by a seeded hash of doc_id.
 SAMPLE_ROWS = 8_000
+#: The size of a model, in features, at most.
 FEATURES = 4_096
+#: The categories that kinds() makes, in the order of the chain.
+KINDS = ("toxic_prose", "toxic_junk", "toxic")
 MIN_Z = 5.0
 FOLDS = 5
 PUNCTUATION = np.zeros(256, dtype=np.uint8) + np.arange(256, dtype=np.uint8)
@@ -113,17 +116,39 @@ def local(sample: pa.Table, column: str = "_text") -> pa.Array:
     return texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
 
 
-def places_of(texts: pa.Array, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many of the chosen texts, and of the others, have each feature place."""
-    counts = np.zeros((2, PLACES))
-    base = 0
+def kinds(labels: DataFrame) -> DataFrame:
+    """labels (doc_id, toxic, quality) with the categories KINDS; a missing quality counts as good, a missing toxic leaves the row out of a fit."""
+    bad = F.coalesce(F.col("quality") == 0, F.lit(False))
+    toxic = F.col("toxic") > 0
+    return labels.select("doc_id", (toxic & ~bad).cast("int").alias(KINDS[0]), (toxic & bad).cast("int").alias(KINDS[1]), toxic.cast("int").alias(KINDS[2]))
+
+
+def cells_of(texts: pa.Array, cell: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (feature place, cell) pairs and how many texts each has; cell is a number for each text."""
+    found, base = [np.zeros(0, dtype=np.int64)], 0
     for piece in slices([pa.record_batch([texts], names=["_text"])], "_text"):
         owner, places = document_features(piece.column(0))
-        yes = chosen[owner + base]
+        found.append(places.astype(np.int64) * cells + cell[owner + base])
         base += piece.num_rows
-        for k, hit in enumerate((yes, ~yes)):
-            counts[k] += np.bincount(places[hit], minlength=PLACES)
-    return counts[0], counts[1]
+    codes, times = np.unique(np.concatenate(found), return_counts=True)
+    return codes // cells, codes % cells, times
+
+
+def chosen(places: np.ndarray, z: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The column of each feature place (-1: none), and which columns each selection has; z has a column for each selection, the last of which gets the first columns."""
+    picks = []
+    for one in z.T:
+        best = np.lexsort((places, -np.abs(one)))[:FEATURES]
+        picks.append(best[np.abs(one[best]) >= least])
+    order = np.concatenate([picks[-1], np.setdiff1d(np.concatenate(picks), picks[-1])])
+    column = np.full(len(places), -1)
+    column[order] = np.arange(len(order))
+    has = np.zeros((len(picks), len(order)), dtype=bool)
+    for k, pick in enumerate(picks):
+        has[k, column[pick]] = True
+    place = np.full(PLACES, -1, dtype=np.int32)
+    place[places[order]] = np.arange(len(order))
+    return place, has
 
 
 def columns_of(texts: pa.Array, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,81 +164,66 @@ def columns_of(texts: pa.Array, place: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return owner, cols, times
 
 
-def chained(y: dict[str, np.ndarray], place: np.ndarray, strong: np.ndarray, owner: np.ndarray, cols: np.ndarray, times: np.ndarray) -> Chain:
-    """The chain of the label columns y, in their order; strong says which feature columns are the strongest terms."""
-    main = list(y)[-1]
-    n, width = len(y[main]), len(strong)
-    if len(y) == 1:
-        hits = np.bincount(owner, weights=strong[cols].astype(float), minlength=n) if len(cols) else np.zeros(n)
-        y = {f"{main}_terms": y[main] * (hits >= 1), f"{main}_repeated": y[main] * (hits >= 3), main: y[main]}
-    names = list(y)
-    fold = (np.arange(n) * 2654435761 % 2**32) * FOLDS // 2**32
+def chained(y: dict[str, np.ndarray], fold: np.ndarray, place: np.ndarray, has: np.ndarray, owner: np.ndarray, cols: np.ndarray, times: np.ndarray) -> Chain:
+    """The chain of the label columns y, in their order; has says which feature columns the training rows of each fold chose, and, last, which all rows did."""
+    names, n = list(y), len(fold)
+    width, final = has.shape[1], int(has[-1].sum())
     out_of_fold = np.zeros((len(names), n))
-    chain = Chain(names, place, [], width)
+    chain = Chain(names, np.where(place < final, place, -1).astype(np.int32), [], final)
     for k, name in enumerate(names):
         rows = np.concatenate([owner, *[np.arange(n)] * k])
         all_cols = np.concatenate([cols, *[np.full(n, width + j) for j in range(k)]]).astype(np.int64)
         values = np.concatenate([np.log1p(times), *out_of_fold[:k]])
         for f in range(FOLDS if n else 0):
-            inside = fold[rows] != f
+            used = np.append(has[f], np.ones(k, dtype=bool))[all_cols]
+            inside, held = used & (fold[rows] != f), used & (fold[rows] == f)
             kept = np.flatnonzero(fold != f)
             renumber = np.zeros(n, dtype=np.int64)
             renumber[kept] = np.arange(len(kept))
             w = fit_logistic(renumber[rows[inside]], all_cols[inside], values[inside], y[name][kept], width + k)
-            z_out = np.bincount(rows, weights=values * w[all_cols], minlength=n) + w[-1]
+            z_out = np.bincount(rows[held], weights=values[held] * w[all_cols[held]], minlength=n) + w[-1]
             out_of_fold[k][fold == f] = sigmoid(z_out[fold == f])
-        chain.weights.append(fit_logistic(rows, all_cols, values, y[name], width + k))
+        used = (all_cols < final) | (all_cols >= width)
+        last = np.where(all_cols >= width, all_cols - width + final, all_cols)
+        chain.weights.append(fit_logistic(rows[used], last[used], values[used], y[name], final + k))
         if not n:
             chain.weights[-1][-1] = -40.0
     return chain
 
 
-def train(sample: pa.Table, categories: Sequence[str], places_z: float = MIN_Z) -> Chain:
-    """The chain fitted to a local sample with distinct texts in _text and 0/1 in each category's column."""
-    texts = local(sample)
-    y = {c: sample.column(c).to_numpy().astype(float) if len(texts) else np.zeros(0) for c in categories}
-    toxic = y[categories[-1]] > 0
-    c1, c0 = places_of(texts, toxic)
-    n1, n0 = max(1, toxic.sum()), max(1, (~toxic).sum())
-    pooled = (c1 + c0) / (n1 + n0)
-    z = (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n1 + 1 / n0))
-    z[c1 + c0 < 3] = 0
-    best = np.argsort(-np.abs(z), kind="stable")[:FEATURES]
-    best = best[np.abs(z[best]) >= places_z]
-    place = np.full(PLACES, -1, dtype=np.int32)
-    place[best] = np.arange(len(best))
-    return chained(y, place, z[best] >= 2 * places_z, *columns_of(texts, place))
-
-
 def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("toxic",), id_col: str = "doc_id", rows: int = SAMPLE_ROWS, places_z: float = MIN_Z) -> Chain:
-    """A chain fitted to at most rows labelled documents (the documented bound; scoring covers all documents).
+    """A chain over label columns of 0 and 1, fitted to at most rows labelled documents (the documented bound; scoring covers all documents).
 
-    Executors read the sample's texts; to the driver come its labels, the chosen features and which document has which.
+    Executors read the sample's texts; to the driver come its labels, the features that some selection chose (at most FEATURES for each) and which document has which. Rows that lack a label are left out;
+    no labels, or no documents with some, give a chain that calls nothing toxic.
     """
-    sample = sample_of(docs, labels, categories, id_col, rows)
+    sample = sample_of(docs, labels, categories, id_col, rows).withColumn("_fold", F.pmod(F.xxhash64("_text"), F.lit(FOLDS)).cast("int"))
     main = categories[-1]
-    slim = sample.select("_id", "_first", *categories).toArrow().sort_by("_id")
-    ids, first = local(slim, "_id").to_numpy(), local(slim, "_first").to_numpy(zero_copy_only=False).astype(bool)
-    y = {c: local(slim, c).to_numpy(zero_copy_only=False).astype(float) for c in categories}
+    slim = sample.select("_id", "_first", "_fold", *categories).toArrow().sort_by("_id")
+    ids, first, fold = local(slim, "_id").to_numpy(), local(slim, "_first").to_numpy(zero_copy_only=False).astype(bool), local(slim, "_fold").to_numpy().astype(np.int64)
+    y = {c: (local(slim, c).to_numpy(zero_copy_only=False).astype(float) > 0).astype(float) for c in categories}
     toxic = y[main] > 0
-    n1, n0 = max(1, int((first & toxic).sum())), max(1, int((first & ~toxic).sum()))
+    n = np.array([[(first & (fold == f) & (toxic == yes)).sum() for yes in (True, False)] for f in range(FOLDS)]).reshape(FOLDS, 2)
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, PLACES))
         for batch in batches:
-            total += places_of(batch.column(0), batch.column(1).to_numpy(zero_copy_only=False).astype(bool))
-        at = np.flatnonzero(total.any(axis=0))
-        yield pa.record_batch([pa.array(at), pa.array(total[0, at]), pa.array(total[1, at])], names=["place", "c1", "c0"])
-
-    counts = sample.where("_first").select("_text", (F.col(main) > 0).alias("yes")).mapInArrow(counted, "place bigint, c1 double, c0 double")
-    counts = counts.groupBy("place").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0")).where("c1 + c0 >= 3")
-    pooled = (F.col("c1") + F.col("c0")) / (n1 + n0)
-    spread = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * (1 / n1 + 1 / n0))
-    scored = counts.select("place", ((F.col("c1") / n1 - F.col("c0") / n0) / spread).alias("z")).where(F.abs("z") >= places_z)
-    best = scored.orderBy(F.desc(F.abs("z")), "place").limit(FEATURES).toArrow()
-    place = np.full(PLACES, -1, dtype=np.int32)
-    place[local(best, "place").to_numpy() if best.num_rows else np.zeros(0, dtype=np.int64)] = np.arange(best.num_rows)
-    strong = local(best, "z").to_numpy() >= 2 * places_z if best.num_rows else np.zeros(0, dtype=bool)
+            if batch.num_rows:
+                places, cells, times = cells_of(batch.column(0), batch.column(1).to_numpy().astype(np.int64), 2 * FOLDS)
+                yield pa.record_batch([pa.array(places), pa.array(cells), pa.array(times)], names=["place", "cell", "times"])
+
+    cells = sample.where("_first").select("_text", (F.col("_fold") * 2 + F.when(F.col(main) > 0, 0).otherwise(1)).cast("bigint").alias("cell"))
+    counts = in_arrow(cells, counted, "place bigint, cell bigint, times bigint").groupBy("place")
+    counts = counts.agg(*[F.sum(F.when(F.col("cell") == k, F.col("times")).otherwise(0)).cast("double").alias(f"c{k}") for k in range(2 * FOLDS)])
+    scores = []
+    for f in range(FOLDS + 1):  # the training rows of each fold, then all rows
+        inside = [g for g in range(FOLDS) if g != f]
+        (c1, n1), (c0, n0) = ((sum((F.col(f"c{2 * g + k}") for g in inside), F.lit(0.0)), max(1, int(n[inside, k].sum()))) for k in (0, 1))
+        pooled = (c1 + c0) / (n1 + n0)
+        z = (c1 / n1 - c0 / n0) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * (1 / n1 + 1 / n0))
+        scores.append(F.when(c1 + c0 >= 3, z).otherwise(0.0).alias(f"z{f}"))
+    scored = counts.select("place", *scores).where(F.greatest(*[F.abs(f"z{f}") for f in range(FOLDS + 1)]) >= places_z).toArrow()
+    z = np.column_stack([scored.column(f"z{f}").to_numpy() for f in range(FOLDS + 1)]) if scored.num_rows else np.zeros((0, FOLDS + 1))
+    place, has = chosen(scored.column("place").to_numpy(), z, places_z)
     shared = Sent(docs.sparkSession, place)
 
     def featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,12 +231,12 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = ("toxic"
             owner, cols, times = columns_of(batch.column(1), shared.value)
             yield pa.record_batch([batch.column(0).take(pa.array(owner)), pa.array(cols), pa.array(times)], names=["_id", "col", "times"])
 
-    pairs = sample.select(F.col("_id").cast("bigint").alias("_id"), "_text").mapInArrow(featured, "_id bigint, col int, times bigint").toArrow()
+    pairs = in_arrow(sample.select(F.col("_id").cast("bigint").alias("_id"), "_text"), featured, "_id bigint, col int, times bigint").toArrow()
     owner = np.searchsorted(ids, local(pairs, "_id").to_numpy()) if pairs.num_rows else np.zeros(0, dtype=np.int64)
     cols = local(pairs, "col").to_numpy() if pairs.num_rows else np.zeros(0, dtype=np.int32)
     times = local(pairs, "times").to_numpy() if pairs.num_rows else np.zeros(0, dtype=np.int64)
     order = np.lexsort((cols, owner))
-    return chained(y, place, strong, owner[order], cols[order], times[order])
+    return chained(y, fold, place, has, owner[order], cols[order], times[order])
 
 
 def toxicity(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col: str = "doc_id") -> DataFrame:
@@ -244,13 +254,17 @@ def toxicity(docs: DataFrame, chain: Chain, threshold: float = 0.5, id_col: str
             p = probabilities(shared.value, piece.column(1))
             yield pa.record_batch([piece.column(0), *[pa.array(x) for x in p], pa.array(p[-1] >= threshold)], names=["doc_id", *[f"p_{c}" for c in shared.value.names], "toxic"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col("text")).mapInArrow(score, schema)
+    return in_arrow(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col("text")), score, schema)
 
 
 def keep_clean(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns as they are, that the chain doesn't call toxic."""
+    """The rows of docs, all columns as they are, that the chain doesn't call toxic.
+
+    Null and empty texts have no features and stay unless the base rate alone reaches threshold; whole texts are scored, each row by itself; an empty table gives no rows; columns may have any name,
+    and text may be written in any case.
+    """
     shared = Sent(docs.sparkSession, chain)
-    at = docs.columns.index("text")
+    at = column_at(docs, "text")
 
     def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices((pa.RecordBatch.from_arrays([b.column(at), *b.columns], names=["_text", *[f"c{i}" for i in range(b.num_columns)]]) for b in batches), "_text"):
@@ -259,4 +273,4 @@ def keep_clean(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFra
             yield kept.filter(pa.array(p[-1] < threshold))
 
     names = docs.columns
-    return docs.mapInArrow(clean, docs.schema)
+    return in_arrow(docs, clean, docs.schema)
