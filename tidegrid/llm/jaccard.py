@@ -36,6 +36,8 @@ FREQUENT = 16
 BROADCAST_KEYS = 2_000_000
 #: Classes of one leader that lie together in one block.
 BLOCK = 512
+#: Sets that go to one partition of the answers, on average, at most.
+SETS = 2_000
 #: Classes that a task remembers to have put into the index; beyond, some are put there twice, which changes nothing.
 SEEN = 1 << 20
 CLASS_BITS = 6
@@ -482,7 +484,8 @@ def similar_classes(docs: DataFrame, members: DataFrame, order: Order, n: int =
     ships = stored(spark, ships.join(standing, "cls").select("cls", "rep", "docs", "place"))
     shipped = shipped_sets(docs, ships, n, limit).select("place", F.col("cls").alias("a"), F.lit(None).cast("bigint").alias("b"), "docs", "grams")
     groups = shipped.union(placed.select("place", "a", "b", F.lit(None).cast("bigint").alias("docs"), F.lit(None).cast("binary").alias("grams")))
-    return answered(groups.repartition(buckets, "place").sortWithinPartitions("place"), t, counted)
+    parts = max(buckets, -(-ships.count() // SETS))
+    return answered(groups.repartition(parts, "place").sortWithinPartitions("place"), t, counted)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
