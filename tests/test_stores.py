@@ -5,15 +5,19 @@ from __future__ import annotations
 import time
 
 import pytest
+from helpers import DATA
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from tidegrid.functions.aggregates import ROLLUP, chain
+from tidegrid.functions.filters import NOT, Chain, Explicit, Literal, Metric, fold
 from tidegrid.functions.lossy import quantize
 from tidegrid.model import Downsample, Points, Rate, Tags, seconds
-from tidegrid.operators import rollup, series
+from tidegrid.operators import events, groupby, rollup, series
+from tidegrid.operators.rate import parted, rates
+from tidegrid.plans import catalog, registry
 from tidegrid.plans.query import Query, Store, chosen_rollup, planned
-from tidegrid.sources import store
+from tidegrid.sources import store, tables
 from tidegrid.streaming import ingest
 
 T0 = 1_704_067_200
@@ -77,6 +81,150 @@ def test_rates_and_gaps_with_tags_in_a_map(spark):
     assert len(got) == 36 and {r.value for r in got if r.bucket < T0 + 3600} == {1.0} and {r.value for r in got if r.bucket >= T0 + 3600} == {None}
 
 
+def plan(df):
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    try:
+        return df._jdf.queryExecution().toString()
+    finally:
+        df.sparkSession.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def test_ranges_and_tags_reach_the_files(spark):
+    small = str(DATA / "sf0.001")
+    for name in ("raw_scan", "ds_avg", "rate", "stored_scan"):
+        text = plan(catalog.QUERIES[name](spark, small))
+        assert "GreaterThanOrEqual(ts," in text and "LessThan(ts," in text, name
+    assert "PartitionFilters: [isnotnull(day" in plan(catalog.QUERIES["stored_scan"](spark, small))
+    assert "EqualTo(metric,click)" in plan(catalog.QUERIES["stored_ds_avg"](spark, small))
+    text = plan(catalog.QUERIES["events_time_range"](spark, small))
+    assert "Or(Or(And(GreaterThanOrEqual(ts," in text and "EqualTo(ongoing,true)" in text
+    text = plan(catalog.QUERIES["rollup_read_sum"](spark, small))
+    assert "sum:double" in text.split("ReadSchema: ")[-1] and "min:double" not in text.split("ReadSchema: ")[-1] and "PartitionFilters: [isnotnull(day" in text
+    text = plan(catalog.QUERIES["series_probe"](spark, small)).split("== Physical Plan ==")[-1]
+    assert "day#" in text and " IN (" in text or "InSet" in text
+
+
+def test_a_rate_moves_points_once(spark):
+    text = plan(catalog.QUERIES["rate"](spark, str(DATA / "sf0.001"))).split("== Physical Plan ==")[-1]
+    assert "Window [lag(value" in text
+    assert all("ts#" not in line for line in text.splitlines() if "hashpartitioning(metric" in line)
+
+
+def test_times_are_read_the_same_in_any_zone(spark):
+    first = tables.clicks(spark, str(DATA / "sf0.001")).df.agg(F.min("ts")).first()[0]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert tables.clicks(spark, str(DATA / "sf0.001")).df.agg(F.min("ts")).first()[0] == first
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_rates_over_parts_nulls_and_maps(spark):
+    """A series with gaps of several days, one without a tag, and tags in a map; parts of an hour."""
+    rows = [("m", h, {"c": "x"} if h else None, T0 + k * 1700 + (k // 7) * 90_000, float(k * k), k) for h in ("a", None) for k in range(40)]
+    p = Points(spark.createDataFrame(rows, "metric string, host string, rest map<string,string>, ts bigint, value double, seq bigint"), TAGS)
+    got = {(r.host, r.ts): r.value for r in rates(parted(p, 3600), Rate(1)).df.collect()}
+    for h in ("a", None):
+        mine = [(r[3], r[4]) for r in rows if r[1] == h]
+        expected = [None] + [(b - a) / (t - s) for (s, a), (t, b) in zip(mine, mine[1:])]
+        assert [got[h, t] for t, _ in mine] == pytest.approx(expected)
+
+
+def streamed(spark, tmp_path, batches, run):
+    """run(stream of points) over batches of rows in turn; what it gives out, in order."""
+    schema = "metric string, host string, ts bigint, value double, seq bigint"
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+        name = f"out{int(time.time() * 1000)}"
+        source = Points(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), Tags({"host": "host"}))
+        path = str(tmp_path / "out")
+
+        def keep(df, number):
+            df.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+        df, mode = run(source)
+        df.writeStream.outputMode(mode).queryName(name).foreachBatch(keep).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).orderBy("batch").collect()
+
+
+def test_segment_rollups_are_like_those_of_a_batch(spark, tmp_path):
+    rows = [("m", h, T0 + k * 60, float(k % 17), k) for h in ("a", "b") for k in range(240)]
+    again = [("m", "a", T0 + 120, 99.0, 1000), ("m", "a", T0 + 180, 5.0, 1)]  # a second write, later and earlier
+    late = [("m", "a", T0 + 10 * 7200, 1.0, 2000)]  # moves the watermark on
+    got = streamed(spark, tmp_path, [rows + again, late], lambda p: (ingest.segment_rollups(p), "append"))
+    batch = Points(spark.createDataFrame(rows + again, "metric string, host string, ts bigint, value double, seq bigint"), Tags({"host": "host"}))
+    wanted = rollup.rolled_up(series.deduped(batch), 3600)
+    totals = wanted.groupBy("metric", "host", "segment").agg(F.sum("sum").alias("sum"), F.sum("count").alias("count"), F.max("max").alias("max"))
+    assert {(r.host, r.segment, r.sum, r["count"], r.max) for r in got} == {(r.host, r.segment, r.sum, r["count"], r.max) for r in totals.collect()}
+
+
+def test_last_values_keep_the_order_of_writes(spark, tmp_path):
+    got = streamed(spark, tmp_path, [[("m", "a", T0, 1.0, 7), ("m", "a", T0, 2.0, 6)], [("m", "a", T0, 3.0, 5)], [("m", "a", T0, 4.0, 8)]], lambda p: (ingest.live_last_values(p, 3600), "update"))
+    assert [r.last_value for r in got if not r.expired] == [1.0, 1.0, 4.0]
+
+
+def test_ingest_tells_what_came_late(spark, tmp_path):
+    now, told = T0 + 20 * 86400, []
+    rows = [("m", "a", t, 1.0, k) for k, t in enumerate((now, now - 60, now - 15 * 86400, now + 86400))]
+    spark.createDataFrame(rows, "metric string, host string, ts bigint, value double, seq bigint").write.parquet(str(tmp_path / "in"))
+    source = Points(spark.readStream.schema("metric string, host string, ts bigint, value double, seq bigint").parquet(str(tmp_path / "in")), Tags({"host": "host"}))
+    ingest.ingest(source, str(tmp_path / "out"), str(tmp_path / "ck"), lambda: now, 10 * 86400, told=lambda n, c: told.append((n, c))).trigger(availableNow=True).start().awaitTermination()
+    assert told == [(0, {"on_time": 2, "late": 1, "early": 1})]
+
+
+def test_routes():
+    none = lambda: None
+    r = registry.Registry()
+    for s in (registry.Source("a", none, keeps=1000), registry.Source("b", none, keeps=1000), registry.Source("c", none, frozenset({"sys"}), tier=1), registry.Source("new", none, up_since=9_900, keeps=9_000)):
+        r.register(s)
+    asked = lambda q, now=10_000, **k: [(s.name, a, b) for s, a, b in r.route(q, now, **k)]
+    assert asked(Query("sys.cpu", 9_500, 9_800)) == [("a", 9_500, 9_800)]
+    assert asked(Query("sys.cpu", 100, 9_800)) == [("a", 9_000, 9_800), ("c", 100, 9_000)]
+    assert asked(Query("sys.cpu", 9_600, 9_800, shift=500)) == [("a", 9_100, 9_300)]
+    assert asked(Query("net.in", 100, 9_800), source="c") == [("c", 100, 9_800)]
+    with pytest.raises(LookupError):
+        asked(Query("net.in", 100, 9_800))
+    r.register(registry.Source("a", none, keeps=1000, healthy=False))
+    assert asked(Query("sys.cpu", 9_500, 9_800)) == [("b", 9_500, 9_800)]
+    r.register(registry.Source("a", none, keeps=1000))
+    r.mode = registry.ROUND_ROBIN
+    assert [asked(Query("sys.cpu", 9_500, 9_800))[0][0] for _ in range(4)] == ["a", "b", "a", "b"]
+    inner = Literal(None, "host", ("h",))
+    assert registry.meta_request("ns", Explicit(None, inner), "m", 0, 1).where == Explicit(None, Chain(None, (Metric(None, ("m",)), inner)))
+    assert registry.as_config(registry.meta_request("ns", None, "m", 0, 1, ["host"]), {"type": "MatchAll"})["group"] == ["host"]
+
+
+def test_searches(spark):
+    row = [("1", "web", "ns", "Deploy Started", "to host1 at 10:30 a/b", "p1", "ann", {"Host": "H1"}, {"k": "v:1"})]
+    e = spark.createDataFrame(row, "event_id string, source string, namespace string, title string, message string, priority string, user_id string, dimensions map<string,string>, additional_props map<string,string>")
+    hit = lambda q: e.where(events.matches(q)).count() == 1
+    assert all(hit(q) for q in (None, "", "*:*", "deploy", "dep*", "d?ploy", '"deploy started"', "title:(nope started)", r"10\:30", "/host[0-9]$/", "Host:h1", "tag.Host:h1", "+ann -bob", "NOT bob", "ann && web", "bob || web", "ann^2 deploy~1", r"/A\/b/", "#x OR ann"))
+    assert not any(hit(q) for q in ("bob", "-bob", "NOT ann", "(NOT bob)", '"started deploy"', "ann AND bob OR web", "+bob ann", "title:ann", r"\*eploy", "/^ost/"))
+    for q in ("(a", "a)", '"a', "/a"):
+        with pytest.raises(ValueError):
+            events.matches(q)
+
+
+def test_what_can_be_merged(spark):
+    with pytest.raises(ValueError):
+        groupby.merged([], ["metric"], "median")
+    with pytest.raises(ValueError):
+        groupby.partial(points(spark).df, TAGS, (), "p99")
+    with pytest.raises(ValueError):
+        fold(Explicit(NOT, Literal(None, "host", ("h",))), TAGS)
+
+
+def test_a_hot_metric_is_several_files(spark, tmp_path):
+    rows = spark.range(200_000).selectExpr("'m' AS metric", "'h' AS host", "map('c', 'x') AS rest", f"{T0} + id % 80000 AS ts", "rand(1) AS value", "id AS seq")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        store.write_points(Points(rows, TAGS), str(tmp_path / "p"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "p").glob("day=*/*.parquet"))) > 1
+
+
 def test_small_things(spark):
     assert [seconds(x) for x in ("30s", "5m", "2h", 7)] == [30, 300, 7200, 7]
     with pytest.raises(ValueError):

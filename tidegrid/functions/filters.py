@@ -176,7 +176,7 @@ def fold(tree: Filter, tags: Tags) -> Column:
     inner = tree.child if isinstance(tree, Explicit) else tree
     negative = inner.op == NOT or isinstance(inner, Chain) and inner.negative()
     if isinstance(tree, Explicit):
-        if negative:
+        if negative or tree.op == NOT:
             raise ValueError("explicit tags can't go with a negated filter")
         return _fold(tree, tags) & (tags.count() == len(tree.keys()))
     return ~_fold(tree, tags) if negative else _fold(tree, tags)
@@ -184,10 +184,12 @@ def fold(tree: Filter, tags: Tags) -> Column:
 
 def algebra(tree: Filter, tags: Tags) -> Column:
     """The reading of discovery queries. Metric filters of one chain are one set: positive ones join, whatever the chain's operator."""
+    if tree.op == NOT:
+        return ~algebra(replace(tree, op=None), tags)
     if isinstance(tree, Explicit):
         return algebra(tree.child, tags) & (tags.count() == len(tree.keys()))
     if not isinstance(tree, Chain):
-        return ~tree.test(tags) if tree.op == NOT else tree.test(tags)
+        return tree.test(tags)
     positive = [c for c in tree.children if c.op != NOT]
     metrics = [c.test(tags) for c in positive if isinstance(c, Metric)]
     hits = ([_any(metrics)] if metrics else []) + [algebra(c, tags) for c in positive if not isinstance(c, Metric)]

@@ -73,6 +73,8 @@ class Points:
 
     df: DataFrame
     tags: Tags
+    #: A timestamp column of df that ts is the second of. Ranges are put on it too, as it is what files know.
+    at: str | None = None
 
     @property
     def series(self) -> list[str]:
@@ -80,7 +82,17 @@ class Points:
         return ["metric", *self.tags.names]
 
     def on(self, df: DataFrame) -> Points:
-        return Points(df, self.tags)
+        return Points(df, self.tags, self.at if self.at in df.columns else None)
+
+    def between(self, start: int | None, end: int | None) -> Points:
+        """The points with start <= ts < end; at has then done its part and goes."""
+        df = self.df
+        for limit, within in ((start, lambda c, v: c >= v), (end, lambda c, v: c < v)):
+            if limit is not None:
+                df = df.where(within(F.col("ts"), F.lit(limit)))
+                if self.at:
+                    df = df.where(within(F.col(self.at), F.timestamp_seconds(F.lit(limit))))
+        return Points(df.drop(self.at) if self.at else df, self.tags)
 
 
 def sortable(df: DataFrame, names: list[str]) -> list[Column]:

@@ -30,11 +30,11 @@ def downsampled(points: Points, spec: Downsample, start: int, end: int) -> DataF
     out = df.groupBy(*points.series, "bucket").agg(value.alias("value"))
     if spec.infectious:
         out = out.where(F.col("value").isNotNull())
-    return filled(out, points.series, start, end, interval, spec.drop_partial) if spec.fill else out
+    return filled(out, points.series, start, end, interval, spec.drop_partial, spec.agg) if spec.fill else out
 
 
-def filled(buckets: DataFrame, series: Sequence[str], start: int, end: int, interval: int, drop_partial: bool = True) -> DataFrame:
-    """buckets with a row, of null value, for each bucket of [start, end) that a series lacks.
+def filled(buckets: DataFrame, series: Sequence[str], start: int, end: int, interval: int, drop_partial: bool = True, agg: str | None = None) -> DataFrame:
+    """buckets with a row, of null value (of 0 for counts), for each bucket of [start, end) that a series lacks.
 
     Each row stands for itself and the empty buckets up to the next one, so that the grid is never joined or gathered.
     """
@@ -44,7 +44,7 @@ def filled(buckets: DataFrame, series: Sequence[str], start: int, end: int, inte
     first = F.when(F.lag("bucket").over(ordered).isNull(), F.lit(start).cast("bigint")).otherwise(F.col("bucket"))
     last = F.coalesce(F.lead("bucket").over(ordered) - interval, F.lit(final).cast("bigint"))
     spread = buckets.withColumns({"lo": first, "hi": last}).withColumn("b", F.explode(F.sequence("lo", "hi", F.lit(interval).cast("bigint"))))
-    return spread.select(*series, F.col("b").alias("bucket"), F.when(F.col("b") == F.col("bucket"), F.col("value")).alias("value"))
+    return spread.select(*series, F.col("b").alias("bucket"), F.when(F.col("b") == F.col("bucket"), F.col("value")).otherwise(0.0 if agg == "count" else None).cast("double").alias("value"))
 
 
 def as_arrays(buckets: DataFrame, series: Sequence[str]) -> DataFrame:

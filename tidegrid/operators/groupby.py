@@ -11,6 +11,10 @@ from tidegrid.functions.aggregates import aggregate
 from tidegrid.model import Tags
 
 
+#: What an aggregate of several stores is made from.
+PARTS = {**{a: (a,) for a in ("sum", "count", "min", "max", "sumofsquare")}, "avg": ("sum", "count"), "dev": ("sum", "count", "sumofsquare"), "range": ("min", "max")}
+
+
 def grouped(buckets: DataFrame, tags: Tags, by: Sequence[str], agg: str) -> DataFrame:
     """The values of all series of a metric that agree in the tags of by, combined for each bucket.
 
@@ -23,12 +27,33 @@ def grouped(buckets: DataFrame, tags: Tags, by: Sequence[str], agg: str) -> Data
     return rows.groupBy("metric", *keys, "bucket").agg(aggregate(agg, F.col("value"), F.col("bucket")).alias("value"))
 
 
+def partial(buckets: DataFrame, tags: Tags, by: Sequence[str], agg: str) -> DataFrame:
+    """What grouped() of one store must say of each group and bucket so that several stores' answers can be merged()."""
+    if agg not in PARTS:
+        raise ValueError(f"{agg} can't be made from several stores' answers")
+    rows = buckets
+    for k in by:
+        rows = rows.where(tags.has(k))
+    return rows.groupBy("metric", *[tags.value(k).alias(k) for k in by], "bucket").agg(*[aggregate(p, F.col("value"), F.col("bucket")).alias(p) for p in PARTS[agg]])
+
+
 def merged(partials: Sequence[DataFrame], keys: Sequence[str], agg: str) -> DataFrame:
-    """Results of the same grouped query over several stores as one; counts are added, other aggregates applied again."""
+    """partial() answers of the same query over several stores as one: averages weigh by counts. What sums, counts and extremes don't determine, as percentiles, can't be merged."""
+    if agg not in PARTS:
+        raise ValueError(f"{agg} can't be made from several stores' answers")
     rows = partials[0]
     for more in partials[1:]:
         rows = rows.unionByName(more)
-    return rows.groupBy(*keys, "bucket").agg(aggregate("sum" if agg == "count" else agg, F.col("value"), F.col("bucket")).alias("value"))
+    all_ = {p: {"min": F.min, "max": F.max}.get(p, F.sum)(p) for p in PARTS[agg]}
+    if agg == "avg":
+        value = all_["sum"] / all_["count"]
+    elif agg == "dev":
+        value = F.sqrt(F.greatest(all_["sumofsquare"] / all_["count"] - F.pow(all_["sum"] / all_["count"], 2), F.lit(0.0)))
+    elif agg == "range":
+        value = all_["max"] - all_["min"]
+    else:
+        value = all_[agg]
+    return rows.groupBy(*keys, "bucket").agg(value.alias("value"))
 
 
 def merged_groups(results: DataFrame) -> DataFrame:

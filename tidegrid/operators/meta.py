@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegrid.functions.filters import Explicit, Filter, MatchAll, algebra
@@ -17,8 +19,12 @@ def catalog(points: Points) -> DataFrame:
     tags = points.tags
     present = points.df.where(F.col("value").isNotNull() & ~F.isnan("value"))
     out = present.groupBy(*points.series).agg(F.max("ts").alias("last_ts"), F.max_by("value", F.struct("ts", "seq")).alias("last_value"))
-    names = F.to_json(F.array_sort(tags.pairs()))
-    return out.withColumns({"tag_count": tags.count(), "series_id": F.xxhash64("metric", names)})
+    return out.withColumns({"tag_count": tags.count(), "series_id": series_id(tags)})
+
+
+def series_id(tags: Tags) -> Column:
+    """A 64-bit hash of the metric and all tags."""
+    return F.xxhash64("metric", F.to_json(F.array_sort(tags.pairs())))
 
 
 def matching(series: DataFrame, tags: Tags, where: Filter = MatchAll()) -> DataFrame:
@@ -75,3 +81,26 @@ def hits(series: DataFrame, tags: Tags, where: Filter = MatchAll()) -> DataFrame
     if isinstance(where, Explicit):
         return series.agg(F.count("*").alias("hits"))
     return series.select(*tags.names).distinct().agg(F.count("*").alias("hits"))
+
+
+def grouped_series(series: DataFrame, tags: Tags, by: Sequence[str]) -> DataFrame:
+    """metric, the tags of by and series_id of each series that has all of them: rows, not arrays, as a group may hold most series."""
+    rows = series
+    for k in by:
+        rows = rows.where(tags.has(k))
+    return rows.select("metric", *[tags.value(k).alias(k) for k in by], "series_id")
+
+
+def merged(results: Sequence[DataFrame]) -> DataFrame:
+    """One discovery result from those of several stores that share no series: what is counted is added up by name, and by key as well; lists of series follow one another."""
+    rows = results[0]
+    for more in results[1:]:
+        rows = rows.unionByName(more)
+    counts = [c for c in ("series", "hits") if c in rows.columns]
+    if not counts:
+        return rows
+    names = [c for c in rows.columns if c not in (*counts, "key_series")]
+    out = rows.groupBy(*names).agg(*[F.sum(c).alias(c) for c in counts])
+    if "key_series" in rows.columns:
+        out = out.join(out.groupBy("key").agg(F.sum("series").alias("key_series")), "key").select(*rows.columns)
+    return out

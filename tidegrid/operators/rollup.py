@@ -26,10 +26,11 @@ def rolled_up(points: Points, interval: int, aggs: Sequence[str] = ROLLUP, width
     return points.df.groupBy(*points.series, segment.alias("segment"), slot.alias("slot")).agg(*columns)
 
 
-def answers(spec: Downsample, start: int, interval: int, aggs: Sequence[str]) -> bool:
-    """Whether a rollup gives exactly what downsampling the points would."""
+def answers(spec: Downsample, start: int, end: int, interval: int, aggs: Sequence[str]) -> bool:
+    """Whether a rollup gives exactly what downsampling the points would: no interval of it may reach beyond either end of what is asked."""
     wide = spec.interval
-    return bool(wide and wide % interval == 0 and start % interval == 0 and not spec.infectious and (NEEDS.get(spec.agg) or {None}) <= set(aggs))
+    cut = end % interval and not spec.drop_partial
+    return bool(wide and wide % interval == 0 and start % interval == 0 and not cut and not spec.infectious and (NEEDS.get(spec.agg) or {None}) <= set(aggs))
 
 
 def from_rollup(rollup: DataFrame, series: Sequence[str], spec: Downsample, start: int, end: int) -> DataFrame:

@@ -7,17 +7,16 @@ from pyspark.sql import functions as F
 
 from tidegrid.model import SEGMENT, Points
 
-SERIES_SCHEMA = "ts bigint, value double"
-
 
 def in_range(points: Points, start: int, end: int) -> Points:
     """start <= ts < end."""
-    return points.on(points.df.where((F.col("ts") >= start) & (F.col("ts") < end)))
+    return points.between(start, end)
 
 
 def retained(points: Points, now: int, retention: int) -> Points:
     """Points of the segments that are still kept at now."""
-    return points.on(points.df.where(F.col("ts") - F.col("ts") % SEGMENT >= now - now % SEGMENT - retention))
+    first = now - now % SEGMENT - retention
+    return points.between(-(-first // SEGMENT) * SEGMENT, None)
 
 
 def shifted(points: Points, shift: int, start: int, end: int) -> Points:
@@ -29,12 +28,8 @@ def shifted(points: Points, shift: int, start: int, end: int) -> Points:
 def deduped(points: Points) -> Points:
     """One point for each series and second, the one written last; missing values (null, NaN) never win or stay."""
     present = points.df.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    return points.on(present.groupBy(*points.series, "ts").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq")))
-
-
-def raw(points: Points, start: int, end: int) -> Points:
-    """The points of each series in [start, end), deduplicated."""
-    return deduped(in_range(points, start, end))
+    parts = [c for c in ("_key", "_part") if c in present.columns]  # where rates have put the points
+    return points.on(present.groupBy(*points.series, *parts, "ts").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq")))
 
 
 def last_values(points: Points):
@@ -48,12 +43,13 @@ def one_series(points: Points, metric: str, tags: dict[str, str]) -> Points:
     wanted: Column = (F.col("metric") == metric) & (points.tags.count() == len(tags))
     for key, value in tags.items():
         wanted = wanted & (points.tags.value(key) == value)
-    return points.on(points.df.where(F.coalesce(wanted, F.lit(False))))
+    return points.on(points.df.where(F.coalesce(wanted, F.lit(False)))).between(None, None)
 
 
 def tiered(hot: Points, cold: Points, cut: int) -> Points:
     """Points from cut on of the hot tier, earlier ones of the cold tier."""
-    return hot.on(hot.df.where(F.col("ts") >= cut).unionByName(cold.df.where(F.col("ts") < cut)))
+    hot = hot.between(cut, None)
+    return hot.on(hot.df.unionByName(cold.between(None, cut).df))
 
 
 def heartbeat(points: Points, start: int, end: int, interval: int = 60):

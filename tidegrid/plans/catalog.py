@@ -11,8 +11,9 @@ from tidegrid.functions.filters import AND, NOT, OR, AnyField, Chain, Explicit,
 from tidegrid.functions.aggregates import ROLLUP
 from tidegrid.model import SEGMENT, Downsample, Points, Rate
 from tidegrid.operators import downsample, events, groupby, meta, rollup, series
+from tidegrid.plans import registry
 from tidegrid.plans.query import Query, Store, planned
-from tidegrid.sources import tables
+from tidegrid.sources import store, tables
 from tidegrid.streaming import ingest
 
 FLAGSHIP = "rate_ds_groupby"
@@ -168,6 +169,21 @@ SELECT metric, "user", bucket, round(value, 6) AS value FROM grid LEFT JOIN b US
 )(lambda s, d: rounded(planned(Query(None, START, END, downsample=Downsample("sum", DAY, fill=True)), users(s, d))))
 
 
+query(
+    "ds_fill_count",
+    f"""WITH {USERS}, d AS (SELECT metric, "user", ts, arg_max(value, seq) AS value FROM pts GROUP BY ALL),
+b AS (SELECT metric, "user", {START} + (ts - {START}) // {DAY} * {DAY} AS bucket, CAST(count(*) AS DOUBLE) AS value FROM d GROUP BY ALL),
+grid AS (SELECT DISTINCT metric, "user", unnest(range({START}, {END}, {DAY})) AS bucket FROM b)
+SELECT metric, "user", bucket, coalesce(value, 0) AS value FROM grid LEFT JOIN b USING (metric, "user", bucket)""",
+)(lambda s, d: planned(Query(None, START, END, downsample=Downsample("count", DAY, fill=True)), users(s, d)))
+query(
+    "ds_arrays",
+    f"""WITH {USERS}, d AS (SELECT metric, "user", ts, arg_max(value, seq) AS value FROM pts GROUP BY ALL),
+b AS (SELECT metric, "user", {START} + (ts - {START}) // {DAY} * {DAY} AS bucket, round(sum(value), 6) AS value FROM d GROUP BY ALL)
+SELECT metric, "user", min(bucket) AS start, list(value ORDER BY bucket) AS "values" FROM b GROUP BY ALL""",
+)(lambda s, d: downsample.as_arrays(rounded(planned(Query(None, START, END, downsample=Downsample("sum", DAY)), users(s, d))), ["metric", "user"]))
+
+
 # Rates
 
 def rated(name: str, spec: Rate, value: str, source: str = "users") -> None:
@@ -250,15 +266,23 @@ SELECT metric, {START} + (ts - {START}) // {DAY} * {DAY} AS bucket, CAST(count(*
 )(lambda s, d: merge_stores(s, d))
 
 
-def merge_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of two stores, each with the points of half of January."""
-    cut = START + 15 * DAY
+def merge_stores(spark: SparkSession, sf_dir: str, agg: str = "count") -> DataFrame:
+    """Answers of two stores, each with the points of half of January, cut within a day."""
+    cut = START + 15 * DAY + 7 * HOUR
     parts = []
     for a, b in ((START, cut), (cut, END)):
         p = series.in_range(tables.user_clicks(spark, sf_dir), a, b)
         raw = series.deduped(p).df.withColumn("bucket", F.col("ts") - (F.col("ts") - START) % DAY)
-        parts.append(groupby.grouped(raw, p.tags, (), "count"))
-    return groupby.merged(parts, ["metric"], "count")
+        parts.append(groupby.partial(raw, p.tags, (), agg))
+    return groupby.merged(parts, ["metric"], agg)
+
+
+for agg, sql in {"avg": "avg(value)", "dev": "stddev_pop(value)", "range": "max(value) - min(value)"}.items():
+    query(
+        f"merge_stores_{agg}",
+        f"""WITH {USERS}, d AS (SELECT metric, "user", ts, arg_max(value, seq) AS value FROM pts GROUP BY ALL)
+SELECT metric, {START} + (ts - {START}) // {DAY} * {DAY} AS bucket, round({sql}, 6) AS value FROM d GROUP BY ALL""",
+    )(lambda s, d, agg=agg: rounded(merge_stores(s, d, agg)))
 
 
 # Rollups
@@ -273,8 +297,65 @@ r AS (SELECT metric, "user", ts - ts % {SEGMENT} AS segment, ts - ts % 900 AS sl
 
 
 def with_rollup(spark: SparkSession, sf_dir: str) -> Store:
+    """The points, and rollups of them that are written once and read by day."""
     points = tables.user_clicks(spark, sf_dir)
-    return Store(points, [(900, ROLLUP, rollup.rolled_up(series.deduped(points), 900)), (HOUR, ("sum", "count"), rollup.rolled_up(series.deduped(points), HOUR, ("sum", "count")))])
+    rollups = []
+    for interval, aggs in ((900, ROLLUP), (HOUR, ("sum", "count"))):
+        path = store.kept(spark, sf_dir, f"rollup{interval}", write=lambda p: store.write_rollup(series.deduped(points), p, interval, aggs))  # noqa: B023
+        rollups.append((interval, aggs, store.read_rollup(spark, path, START, END)))
+    return Store(points, rollups)
+
+
+def stored_points(spark: SparkSession, sf_dir: str) -> str:
+    return store.kept(spark, sf_dir, "points", write=lambda p: store.write_points(tables.user_clicks(spark, sf_dir), p))
+
+
+def stored_users(spark: SparkSession, sf_dir: str, start: int, end: int) -> Points:
+    return store.read_points(spark, stored_points(spark, sf_dir), tables.user_clicks(spark, sf_dir).tags, start, end)
+
+
+query("stored_scan", f"WITH {USERS} SELECT metric, \"user\", ts, arg_max(value, seq) AS value FROM pts WHERE ts >= {START + 5 * DAY} AND ts < {START + 9 * DAY} GROUP BY ALL")(
+    lambda s, d: planned(Query(None, START + 5 * DAY, START + 9 * DAY), Store(stored_users(s, d, START + 5 * DAY, START + 9 * DAY)))
+)
+query(
+    "stored_ds_avg",
+    f"""WITH {USERS}, d AS (SELECT metric, "user", ts, arg_max(value, seq) AS value FROM pts WHERE metric = 'click' AND ts >= {START + 5 * DAY} AND ts < {START + 9 * DAY} GROUP BY ALL)
+SELECT metric, "user", {START} + (ts - {START}) // {DAY} * {DAY} AS bucket, round(avg(value), 6) AS value FROM d GROUP BY ALL""",
+)(lambda s, d: rounded(planned(Query("click", START + 5 * DAY, START + 9 * DAY, downsample=Downsample("avg", DAY)), Store(stored_users(s, d, START + 5 * DAY, START + 9 * DAY)))))
+query("series_probe", f"WITH {USERS} SELECT * FROM pts WHERE metric = 'view' AND \"user\" IN ('1', '2', '3') AND ts >= {START + 5 * DAY} AND ts < {START + 15 * DAY}")(
+    lambda s, d: probed(s, d).df
+)
+
+
+def probed(spark: SparkSession, sf_dir: str) -> Points:
+    points = tables.user_clicks(spark, sf_dir)
+    dimension = store.kept(spark, sf_dir, "series", write=lambda p: store.write_series(points, p))
+    return store.read_series_points(spark, stored_points(spark, sf_dir), dimension, points.tags, START + 5 * DAY, START + 15 * DAY, Literal(None, "user", ("1", "2", "3")), "view")
+
+
+query(
+    "registry_tiers",
+    f"""WITH {USERS}, d AS (SELECT metric, "user", ts, arg_max(value, seq) AS value FROM pts WHERE metric = 'click' GROUP BY ALL)
+SELECT metric, "user", {START} + (ts - {START}) // {DAY} * {DAY} AS bucket, round(sum(value), 6) AS value FROM d GROUP BY ALL""",
+)(lambda s, d: rounded(routed(s, d)))
+
+
+def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """January out of a hot source of ten days, whose first replica is down, and a cold one by day."""
+    known = registry.Registry()
+    known.register(registry.Source("hot1", lambda: tables.user_clicks(spark, sf_dir), keeps=10 * DAY, healthy=False))
+    known.register(registry.Source("hot2", lambda: tables.user_clicks(spark, sf_dir), keeps=10 * DAY))
+    known.register(registry.Source("other", lambda: tables.user_clicks(spark, sf_dir), namespaces=frozenset({"sales"}), tier=1))
+    known.register(registry.Source("cold", lambda: stored_users(spark, sf_dir, START, END), namespaces=frozenset({"click", "view"}), tier=1))
+    wanted = Query("click", START, END, downsample=Downsample("sum", DAY))
+    return planned(wanted, known.store(wanted, END))
+
+
+query(
+    "rollup_read_unaligned",
+    f"""WITH {USERS}, d AS (SELECT metric, "user", ts, arg_max(value, seq) AS value FROM pts WHERE ts < {END - 400} GROUP BY ALL)
+SELECT metric, "user", {START} + (ts - {START}) // {DAY} * {DAY} AS bucket, round(sum(value), 6) AS value FROM d GROUP BY ALL""",
+)(lambda s, d: rounded(planned(Query(None, START, END - 400, downsample=Downsample("sum", DAY, drop_partial=False)), with_rollup(s, d))))
 
 
 for agg, sql in {"avg": "avg(value)", "sum": "sum(value)", "count": "CAST(count(*) AS DOUBLE)", "min": "min(value)", "max": "max(value)", "sumofsquare": "sum(value * value)"}.items():
@@ -307,6 +388,39 @@ discovered(
     "SELECT key, value, count(*) AS series, CAST(sum(count(*)) OVER (PARTITION BY key) AS BIGINT) AS key_series FROM pairs GROUP BY key, value",
     lambda s, p: meta.keys_and_values(s, p.tags, limit=None),
 )
+discovered("meta_tag_values_limited", "SELECT value, count(*) AS series FROM pairs GROUP BY value ORDER BY value LIMIT 20", lambda s, p: meta.tag_values(s, p.tags, limit=20))
+discovered(
+    "meta_keys_values_limited",
+    """, t AS (SELECT key, count(DISTINCT value) AS n, count(*) AS key_series FROM pairs GROUP BY key), u AS (SELECT *, sum(n) OVER (ORDER BY key) AS upto FROM t)
+SELECT key, value, count(*) AS series, any_value(key_series) AS key_series FROM pairs JOIN u USING (key) WHERE upto <= 120 GROUP BY key, value""",
+    lambda s, p: meta.keys_and_values(s, p.tags, limit=120),
+)
+discovered(
+    "meta_not_chain",
+    "SELECT metric, count(*) AS series FROM series WHERE {where} GROUP BY metric",
+    lambda s, p: meta.metrics(s),
+    Chain(NOT, (Literal(None, "k", ("1", "2", "3")), Metric(None, ("click",))), AND),
+    "NOT (k IN ('1', '2', '3') AND metric = 'click')",
+)
+discovered(
+    "meta_request",
+    "SELECT metric, k, count(*) AS series FROM series WHERE {where} GROUP BY metric, k",
+    lambda s, p: meta.grouped_series(s, p.tags, ("k",)).groupBy("metric", "k").agg(F.count("*").alias("series")),
+    registry.meta_request("click", Explicit(None, Chain(None, (Regexp(None, "user", "^1"), Regexp(None, "k", ".*")))), "click", START, END, ("k",)).where,
+    "metric = 'click' AND regexp_matches(\"user\", '^1')",
+)
+query("meta_merge", f"WITH {SERIES} SELECT key, value, count(*) AS series, CAST(sum(count(*)) OVER (PARTITION BY key) AS BIGINT) AS key_series FROM pairs GROUP BY key, value")(
+    lambda s, d: merged_discovery(s, d)
+)
+
+
+def merged_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys and values of three stores, which the series are dealt to by a hash."""
+    points = tables.clicks(spark, sf_dir)
+    series_ = meta.catalog(points)
+    return meta.merged([meta.keys_and_values(series_.where(F.pmod("series_id", F.lit(3)) == k), points.tags, limit=None) for k in range(3)])
+
+
 discovered(
     "meta_timeseries",
     """SELECT metric, '{{"k":"' || k || '","user":"' || "user" || '"}}' AS tags FROM series ORDER BY 1, 2 LIMIT 1024""",
@@ -361,13 +475,34 @@ query("events_search_regex", f"WITH {EVENTS} SELECT event_id FROM ev WHERE {WHEN
 )
 query("events_namespace", f"WITH {EVENTS} SELECT event_id FROM ev WHERE {WHEN} AND namespace = 'view'")(lambda s, d: found(s, d, None, "VIEW").select("event_id"))
 query("events_time_range", f"WITH {EVENTS} SELECT event_id, ts, end_ts FROM ev WHERE ts BETWEEN {START + 5 * DAY} AND {START + 6 * DAY} OR coalesce(end_ts BETWEEN {START + 5 * DAY} AND {START + 6 * DAY}, false) OR ongoing")(
-    lambda s, d: found(s, d, start=START + 5 * DAY, end=START + 6 * DAY).select("event_id", "ts", "end_ts")
+    lambda s, d: events.searched(s.read.parquet(stored_events(s, d)), START + 5 * DAY, START + 6 * DAY).select("event_id", "ts", "end_ts")
+)
+query("events_days", f"WITH {EVENTS} SELECT event_id, ts FROM ev WHERE ts >= {START + 5 * DAY} AND ts < {START + 7 * DAY} AND (ts <= {START + 6 * DAY} OR coalesce(end_ts BETWEEN {START + 5 * DAY} AND {START + 6 * DAY}, false) OR ongoing) AND contains(namespace, 'view')")(
+    lambda s, d: events.searched(store.read_events(s, stored_events(s, d), START + 5 * DAY, START + 6 * DAY), START + 5 * DAY, START + 6 * DAY, events.query_of({"type": "Chain", "op": "AND", "filters": [{"type": "PassThrough", "filter": " namespace:view "}]})).select("event_id", "ts")
+)
+
+
+def stored_events(spark: SparkSession, sf_dir: str) -> str:
+    return store.kept(spark, sf_dir, "events", write=lambda p: store.write_events(tables.operational(spark, sf_dir), p))
+
+
+query("events_bool_mixed", f"WITH {EVENTS} SELECT event_id FROM ev WHERE {WHEN} AND contains(namespace, 'view') AND contains(k, '1')")(lambda s, d: found(s, d, "namespace:view AND k:1 OR message:12").select("event_id"))
+query(
+    "events_regex_group",
+    f"WITH {EVENTS} SELECT event_id FROM ev WHERE {WHEN} AND (len(list_filter(regexp_extract_all(lower(message), '\\S+'), lambda w: regexp_matches(w, '^\\S+(12|34)$'))) > 0 OR contains(' ' || lower(title) || ' ', ' seen click '))",
+)(lambda s, d: found(s, d, r'message:/^\S+(12|34)$/ "SEEN click"').select("event_id"))
+query("events_needed", f"WITH {EVENTS} SELECT event_id FROM ev WHERE {WHEN} AND (contains(namespace, 'click') OR contains(namespace, 'view')) AND contains(lower(message), '7') AND NOT contains(k, '3')")(
+    lambda s, d: found(s, d, "+namespace:(click view) +message:7 -k:3 title:nothing").select("event_id")
 )
 query("events_top", f"WITH {EVENTS} SELECT event_id, ts FROM ev WHERE {WHEN} ORDER BY ts DESC, event_id DESC LIMIT 10")(lambda s, d: events.top(found(s, d), 0).select("event_id", "ts"))
 query("events_total_hits", f"WITH {EVENTS} SELECT count(*) AS hits FROM ev WHERE {WHEN} AND (contains(title, 'view') OR namespace = 'view')")(lambda s, d: events.total_hits(found(s, d, "title:view OR namespace:view")))
 query("events_group", f"WITH {EVENTS} SELECT coalesce(d_kind, '_NO_GROUP') AS \"group\", count(*) AS hits FROM ev WHERE {WHEN} GROUP BY 1")(lambda s, d: events.grouped(found(s, d), "kind"))
 query("events_group_last", f"WITH {EVENTS} SELECT coalesce(d_user, '_NO_GROUP') AS \"group\", count(*) AS hits, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS last_event_id, max(ts) AS last_ts FROM ev WHERE {WHEN} GROUP BY 1")(
-    lambda s, d: events.grouped(found(s, d), "user", True)
+    lambda s, d: events.grouped(found(s, d), "user", True).select("group", "hits", F.col("last.event_id").alias("last_event_id"), F.col("last.ts").alias("last_ts"))
+)
+query("events_last_event", f"""WITH {EVENTS}, g AS (SELECT coalesce(d_kind, '_NO_GROUP') AS "group", arg_max(struct_pack(e := event_id, m := message, n := namespace, u := user_id, x := end_ts, o := ongoing), struct_pack(t := ts, e := event_id)) AS l FROM ev WHERE {WHEN} GROUP BY 1)
+SELECT "group", l.e AS event_id, l.m AS message, l.n AS namespace, l.u AS user_id, l.x AS end_ts, l.o AS ongoing FROM g""")(
+    lambda s, d: events.grouped(found(s, d), "kind", True).select("group", *[F.col(f"last.{c}").alias(c) for c in ("event_id", "message", "namespace", "user_id", "end_ts", "ongoing")])
 )
 query("events_minute_count", f"WITH {EVENTS} SELECT ts - ts % 60 AS minute, CAST(count(*) AS DOUBLE) AS count FROM ev WHERE {WHEN} GROUP BY 1")(lambda s, d: events.per_minute(found(s, d)))
 query("events_id", f"WITH {EVENTS} SELECT event_id AS old, strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') || '_' || md5(namespace || '|web|' || CASE WHEN d_user IS NULL THEN '{{}}' ELSE '{{\"kind\":\"' || d_kind || '\",\"user\":\"' || d_user || '\"}}' END || '|' || ts) AS new FROM ev")(
@@ -375,8 +510,8 @@ query("events_id", f"WITH {EVENTS} SELECT event_id AS old, strftime(make_timesta
 )
 query(
     "events_upsert",
-    """WITH b AS (SELECT CAST(event_id AS VARCHAR) AS event_id, 'Seen ' || event_type AS title, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events WHERE event_id % 3 <> 0),
-u AS (SELECT CAST(event_id AS VARCHAR) AS event_id, 'Changed' AS title, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_id % 2 = 0 AS upsert FROM events WHERE event_id % 5 <> 0)
+    """WITH b AS (SELECT CAST(event_id AS VARCHAR) AS event_id, 'Seen ' || event_type AS title, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events),
+u AS (SELECT CAST(3 * event_id AS VARCHAR) AS event_id, 'Changed' AS title, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_id % 2 = 0 AS upsert FROM events)
 SELECT event_id, coalesce(u.title, b.title) AS title, coalesce(b.ts, u.ts) AS ts FROM b FULL JOIN u USING (event_id) WHERE b.ts IS NOT NULL OR u.upsert""",
 )(lambda s, d: upserted(s, d).select("event_id", "title", "ts"))
 
@@ -384,8 +519,28 @@ SELECT event_id, coalesce(u.title, b.title) AS title, coalesce(b.ts, u.ts) AS ts
 def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_events = tables.operational(spark, sf_dir)
     number = F.col("event_id").cast("bigint")
-    changes = all_events.where(number % 5 != 0).withColumns({"title": F.lit("Changed"), "seq": number, "upsert": number % 2 == 0})
-    return events.updated(all_events.where(number % 3 != 0), changes)
+    changes = all_events.withColumns({"title": F.lit("Changed"), "seq": number, "upsert": number % 2 == 0, "event_id": (number * 3).cast("string")})
+    return events.updated(all_events, changes)
+
+
+NEW_ID = "strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') || '_' || md5(namespace || '|web|' || CASE WHEN d_user IS NULL THEN '{}' ELSE '{\"kind\":\"' || d_kind || '\",\"user\":\"' || d_user || '\"}' END || '|' || ts)"
+query(
+    "events_update_id",
+    f"""WITH {EVENTS}, n AS (SELECT *, CAST(event_id AS BIGINT) AS i, {NEW_ID} AS new_id FROM ev)
+SELECT event_id, CASE WHEN i % 4 = 0 THEN 'Changed' ELSE title END AS title, ts FROM n
+UNION ALL SELECT DISTINCT new_id, 'Changed', ts FROM n WHERE i % 4 = 2""",
+)(lambda s, d: updated_by_property(s, d).select("event_id", "title", "ts"))
+
+
+def updated_by_property(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events, of which each fourth has an update id of its own, each next one shares one with a hundred; updates for all of these ids and as many others."""
+    number = F.col("event_id").cast("bigint")
+    named = lambda column: F.create_map(F.lit("update_id"), column)
+    base = tables.operational(spark, sf_dir)
+    base = base.withColumn("additional_props", named(F.when(number % 4 == 0, F.concat(F.lit("u"), "event_id")).when(number % 4 == 1, F.concat(F.lit("d"), F.expr("CAST(event_id AS BIGINT) div 400")))))
+    one = base.withColumns({"title": F.lit("Changed"), "seq": number, "upsert": number % 4 == 2, "additional_props": named(F.concat(F.lit("U"), "event_id"))})
+    shared = one.withColumns({"additional_props": named(F.concat(F.lit("D"), F.expr("CAST(event_id AS BIGINT) div 400"))), "upsert": F.lit(False)})
+    return events.updated_by_property(base, one.union(shared))
 
 
 query("events_parent_child", f"WITH {EVENTS}, c AS (SELECT parent AS event_id, list_sort(list(DISTINCT event_id)) AS children FROM ev WHERE parent IS NOT NULL GROUP BY parent) SELECT event_id, coalesce(children, []) AS children FROM ev LEFT JOIN c USING (event_id)")(
@@ -406,6 +561,23 @@ query("ephemeral_arrival", f"""WITH {USERS}, s AS (SELECT ts - ts % {DAY} AS s,
 SELECT CASE WHEN now >= s + {DAY} + 900 THEN 'late' WHEN now < s - 30 THEN 'early' ELSE 'on_time' END AS status, count(*) AS points FROM s GROUP BY 1""")(
     lambda s, d: ingest.counted(users(s, d).points.df, ingest.ephemeral_arrival(F.lit(START + 20 * DAY + 600), DAY))
 )
+query(
+    "admission",
+    f"""WITH {USERS}, known AS (SELECT DISTINCT metric, "user" FROM pts WHERE ts < {START + DAY}),
+later AS (SELECT metric, "user", min(ts) AS first FROM pts WHERE ts >= {START + DAY} GROUP BY ALL),
+new AS (SELECT metric, "user", row_number() OVER (ORDER BY first, metric, "user") AS n FROM later ANTI JOIN known USING (metric, "user")),
+passed AS (SELECT metric, "user" FROM known UNION ALL SELECT metric, "user" FROM new WHERE n <= 100)
+SELECT metric, "user", ts, value, seq FROM pts JOIN passed USING (metric, "user") WHERE ts >= {START + DAY}""",
+)(lambda s, d: admission(s, d).df)
+
+
+def admission(spark: SparkSession, sf_dir: str) -> Points:
+    """The series of the first day are known, a hundred more are let in."""
+    points = tables.user_clicks(spark, sf_dir)
+    known = meta.catalog(series.in_range(points, START, START + DAY))
+    return ingest.admitted(series.in_range(points, START + DAY, END), known, known.count() + 100)
+
+
 query("purge", f"WITH {USERS} SELECT * FROM pts WHERE ts - ts % {SEGMENT} + {SEGMENT} + 600 > {END - 5 * DAY}")(lambda s, d: ingest.purged(users(s, d).points, END, 5 * DAY).df)
 query("idle_series", f"WITH {SERIES} SELECT metric, \"user\", k, last_ts FROM series WHERE last_ts < {END - 10 * DAY}")(
     lambda s, d: ingest.idle_series(meta.catalog(clicks(s, d).points), END, 10 * DAY).select("metric", "user", "k", "last_ts")

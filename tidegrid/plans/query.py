@@ -12,7 +12,7 @@ from tidegrid.functions.filters import Filter, MatchAll, fold
 from tidegrid.model import Downsample, Points, Rate
 from tidegrid.operators import groupby, rollup, series
 from tidegrid.operators.downsample import downsampled, filled
-from tidegrid.operators.rate import rates
+from tidegrid.operators.rate import parted, rates
 
 
 @dataclass(frozen=True)
@@ -40,7 +40,7 @@ def chosen_rollup(query: Query, store: Store) -> tuple[int, Sequence[str], DataF
     """The coarsest rollup that gives the exact answer."""
     if query.downsample is None or query.rate is not None:
         return None
-    fit = [r for r in store.rollups if rollup.answers(query.downsample, query.start - query.shift, r[0], r[1])]
+    fit = [r for r in store.rollups if rollup.answers(query.downsample, query.start - query.shift, query.end - query.shift, r[0], r[1])]
     return max(fit, key=lambda r: r[0], default=None)
 
 
@@ -61,11 +61,11 @@ def planned(query: Query, store: Store) -> DataFrame:
             rows = rows.withColumn("slot", F.col("slot") + F.lit(query.shift))
         out = rollup.from_rollup(rows, points.series, spec, query.start, query.end)
         if spec.fill:
-            out = filled(out, points.series, query.start, query.end, spec.interval, spec.drop_partial)
+            out = filled(out, points.series, query.start, query.end, spec.interval, spec.drop_partial, spec.agg)
     else:
         points = points.on(points.df.where(wanted))
         points = series.shifted(points, query.shift, query.start, query.end) if query.shift else series.in_range(points, query.start, query.end)
-        points = series.deduped(points)
+        points = series.deduped(parted(points) if query.rate else points)
         if query.rate:
             points = rates(points, query.rate)
         if spec is None:

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegrid.model import Points, Tags
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; wall-clock times are read as UTC, whatever the session's time zone, and so that filters on them reach the files."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    fields = [T.StructField(f.name, T.TimestampType() if f.dataType == T.TimestampNTZType() else f.dataType, f.nullable) for f in df.schema.fields]
+    return df if fields == df.schema.fields else spark.read.schema(T.StructType(fields)).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def epoch(ts: Column) -> Column:
-    return F.unix_timestamp(ts.cast("timestamp"))
+    return F.unix_timestamp(ts)
 
 
 def clicks(spark: SparkSession, sf_dir: str, coarse: int = 1) -> Points:
@@ -22,15 +26,15 @@ def clicks(spark: SparkSession, sf_dir: str, coarse: int = 1) -> Points:
     ts = epoch(F.col("ts"))
     df = e.select(
         F.col("event_type").alias("metric"), F.col("user_id").cast("string").alias("user"), F.get_json_object("props", "$.k").alias("k"),
-        (ts - ts % coarse if coarse > 1 else ts).alias("ts"), F.col("value").cast("double").alias("value"), F.col("event_id").alias("seq"),
+        (ts - ts % coarse if coarse > 1 else ts).alias("ts"), F.col("value").cast("double").alias("value"), F.col("event_id").alias("seq"), *([] if coarse > 1 else [F.col("ts").alias("_at")]),
     )
-    return Points(df, Tags({"user": "user", "k": "k"}))
+    return Points(df, Tags({"user": "user", "k": "k"}), None if coarse > 1 else "_at")
 
 
 def user_clicks(spark: SparkSession, sf_dir: str) -> Points:
     """events with the user as the only tag: longer series."""
     p = clicks(spark, sf_dir)
-    return Points(p.df.drop("k"), Tags({"user": "user"}))
+    return Points(p.df.drop("k"), Tags({"user": "user"}), p.at)
 
 
 def prices(spark: SparkSession, sf_dir: str) -> Points:
@@ -39,8 +43,9 @@ def prices(spark: SparkSession, sf_dir: str) -> Points:
     df = li.select(
         F.lit("sales.price").alias("metric"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_suppkey").cast("string").alias("supplier"),
         epoch(F.col("l_shipdate")).alias("ts"), F.col("l_extendedprice").cast("double").alias("value"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+        F.col("l_shipdate").alias("_at"),
     )
-    return Points(df, Tags({"flag": "flag", "status": "status", "supplier": "supplier"}))
+    return Points(df, Tags({"flag": "flag", "status": "status", "supplier": "supplier"}), "_at")
 
 
 def operational(spark: SparkSession, sf_dir: str) -> DataFrame:
