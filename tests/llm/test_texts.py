@@ -13,15 +13,15 @@ import pytest
 import sentencepiece
 from cases import LONG, SCHEMA, nasty, none, prose, table
 
-from tidegrid.llm import media, packing, phrases, pictures, pieces, queries, sharding, warc
+from tidegrid.llm import media, packing, phrases, pictures, pieces, sharding, warc
 
 HARD = ["", " ", "  two  blanks ", "tab\tand\nline", "Grüße, 日本語のテキスト \U0001f600!", "▁ mark ▁▁", "aaaaaaaaaaaaaaaaaaaa", "x" * 300, "don't stop-believing 12345", "\u0000\u0007", LONG]
 
 
 def test_ids_are_those_of_the_library(spark):
     texts = HARD + prose(200, 40)
-    library = sentencepiece.SentencePieceProcessor(model_file=queries.PIECE_MODEL)
-    found = {r.doc_id: r for r in pieces.encode(table(spark, texts), queries.PIECE_MODEL, decoded=True).collect()}
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    found = {r.doc_id: r for r in pieces.encode(table(spark, texts), pieces.MODEL, decoded=True).collect()}
     for k, text in enumerate(texts):
         assert found[k].ids == library.encode(text)
         assert found[k].decoded == text.replace("▁", " ") if text else not found[k].ids
@@ -29,9 +29,9 @@ def test_ids_are_those_of_the_library(spark):
 
 def test_pieces_of_nasty_rows(spark):
     docs = nasty(spark)
-    coded = pieces.encode(docs, queries.PIECE_MODEL)
-    assert coded.count() == docs.count() and pieces.encode(none(spark), queries.PIECE_MODEL).count() == 0
-    back = pieces.decode(coded, queries.PIECE_MODEL)
+    coded = pieces.encode(docs, pieces.MODEL)
+    assert coded.count() == docs.count() and pieces.encode(none(spark), pieces.MODEL).count() == 0
+    back = pieces.decode(coded, pieces.MODEL)
     assert sorted(map(repr, ((r.doc_id, r.text) for r in back.collect()))) == sorted(repr((r.doc_id, (r.text or "").replace("▁", " "))) for r in docs.collect())
 
 

@@ -15,6 +15,7 @@ library's choice follows the rounding of its sums.
 
 from __future__ import annotations
 
+import os
 import struct
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -33,7 +34,8 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Words whose ids a task keeps; beyond, it starts anew.
 KNOWN_WORDS = 300_000
-SLICE = 4 << 20
+#: The vocabulary file that is taken unless another one is named, in a call or in the environment.
+MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 @dataclass
@@ -207,7 +209,7 @@ class Encoder:
                 k = start
             ids.reverse()
             out.append(ids)
-        if len(fits) > 1_000_000:
+        if len(fits) > 300_000:
             fits.clear()
         return out
 
@@ -302,7 +304,7 @@ class Batches:
         return pc.if_else(valid, out, pa.scalar(None, pa.string()))
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", decoded: bool = False) -> DataFrame:
     """For each document doc_id and ids (and, if wanted, decoded: the text that the ids give back).
 
     Ids are those of the sentencepiece library without begin and end marks. A null or empty text has an empty list; whole texts are encoded;
@@ -314,7 +316,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", decoded: bo
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Batches(shared.value)
-        for piece in slices(batches, "text", SLICE):
+        for piece in slices(batches, "text"):
             ids = coder.encode(piece.column(1))
             columns = [piece.column(0), ids] + [coder.decode(ids)] * decoded
             yield pa.record_batch(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
@@ -322,6 +324,18 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", decoded: bo
     return in_arrow(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col("text")), run, schema)
 
 
+def counted(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id") -> DataFrame:
+    """doc_id and n_pieces, the number of ids that encode() gives, of each row; 0 for a null or empty text. Null ids are kept; an empty table gives no rows; further columns are ignored."""
+    shared = Sent(docs.sparkSession, load(model_path))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Batches(shared.value)
+        for piece in slices(batches, "text"):
+            yield pa.record_batch([piece.column(0), coder.encode(piece.column(1)).value_lengths().cast(pa.int64())], names=["doc_id", "n_pieces"])
+
+    return in_arrow(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col("text")), run, "doc_id bigint, n_pieces bigint")
+
+
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """doc_id and text for each row of doc_id and ids; null ids give null, an empty list an empty text."""
     shared = Sent(encoded.sparkSession, load(model_path))

@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegrid.llm import jaccard, media, packing, phrases, pictures, pieces, quality, sharding, suffixes, toxicity, warc
 from tidegrid.llm.shared import shared_folder
 
 
-#: The vocabulary file that op6 takes; another one may be named in the environment.
-PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,7 +35,7 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(table(spark, sf_dir, "documents"), PIECE_MODEL, decoded=True)
+    return pieces.encode(table(spark, sf_dir, "documents"), decoded=True)
 
 
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
