@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidegrid.llm import jaccard, packing, quality, suffixes, toxicity
+from tidegrid.llm import jaccard, packing, pieces, quality, suffixes, toxicity
 from tidegrid.llm.shared import deleted, scratch, shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -35,8 +36,8 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What each training sequence holds, by words between white space. Documents without words have no row, null ids are kept; an empty table gives no rows."""
-    return packing.pack(docs)
+    """What each training sequence holds, in tokens of the default vocabulary. Documents without tokens (null or empty texts) have no row, null ids are kept; an empty table gives no rows."""
+    return packing.pack(pieces.counted(docs), F.col("n_pieces"))
 
 
 STAGES: list[tuple[str, Stage]] = [
