@@ -14,6 +14,7 @@ import sentencepiece
 from cases import LONG, SCHEMA, nasty, none, prose, table
 
 from tidegrid.llm import media, packing, phrases, pictures, pieces, sharding, warc
+from tidegrid.llm.columnar import mix, utf8
 
 HARD = ["", " ", "  two  blanks ", "tab\tand\nline", "Grüße, 日本語のテキスト \U0001f600!", "▁ mark ▁▁", "aaaaaaaaaaaaaaaaaaaa", "x" * 300, "don't stop-believing 12345", "\u0000\u0007", LONG]
 
@@ -36,40 +37,73 @@ def test_pieces_of_nasty_rows(spark):
 
 
 def lz78(raw: bytes) -> set[bytes]:
-    known, phrase = set(), b""
+    """Phrases, each the shortest new piece, or what there is before an anchor."""
+    known, out, phrase = set(), set(), b""
     for k in range(len(raw)):
+        if k and phrase and raw[k - 1] in b" \t\n" and raw[k] not in b" \t\n" and not int(mix(np.array([int.from_bytes(raw[max(0, k - 8) : k][::-1], "little")], dtype=np.uint64))[0]) & 1:
+            out.add(phrase)
+            phrase = b""
         phrase += raw[k : k + 1]
         if phrase not in known:
             known.add(phrase)
             phrase = b""
-    return known
+    return known | out
 
 
 def test_phrases_are_those_of_lz78():
-    for text in [*prose(20, 80), "aaaaaaaaa", "日本語日本語"]:
+    texts = [*prose(20, 80), "aaaaaaaaa", "日本語日本語", "", " lead", "two  blanks\n\nlines"]
+    data, offsets = utf8(pa.array(texts))
+    cuts = phrases.anchors(data, offsets)
+    for text, a, b in zip(texts, offsets, offsets[1:]):
         raw = text.encode()
-        ends = phrases.phrase_ends(raw)
+        ends = phrases.phrase_ends(raw, (cuts[(cuts > a) & (cuts < b)] - a).tolist())
         assert {raw[a:b] for a, b in zip([0, *ends], ends)} == lz78(raw)
 
 
+def classes(rows) -> set[tuple[int, int]]:
+    """Pairs of ids in one class."""
+    by = defaultdict(list)
+    for r in rows:
+        by[r.class_id].append(r.doc_id)
+    return {(a, b) for ids in by.values() for a in ids for b in ids if a < b}
+
+
 @pytest.mark.parametrize("limit", [4_000_000, 0])
 def test_similar_documents_are_found(spark, limit):
     base = prose(30, 300, 8)
-    texts = base + [t + " some more" for t in base] + [t.replace("a", "b", 1) for t in base] + base[:3]
-    signs, _ = phrases.signatures(pa.array(texts))
-    first = {s.tobytes(): k for k, s in reversed(list(enumerate(signs)))}
-    wanted = {(a, b) for a in first.values() for b in first.values() if a < b and (signs[a] == signs[b]).mean() >= phrases.THRESHOLD}
-    copies = {(first[s.tobytes()], k) for k, s in enumerate(signs) if first[s.tobytes()] != k}
-    found = {(r.doc_a, r.doc_b) for r in phrases.similar(table(spark, texts), limit=limit).collect()}
-    assert found <= wanted | copies and copies <= found and len(found & wanted) >= 0.9 * len(wanted)
+    texts = base + [t + " some more" for t in base] + [t.replace("a", "b", 1) for t in base] + base[:3] + ["", None]
+    signs, count = phrases.signatures(pa.array(texts))
+    like = lambda a, b: count[a] and count[b] and (signs[a] == signs[b]).mean() >= phrases.THRESHOLD
+    near = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if like(a, b)}
+    root = list(range(len(texts)))
+    for _ in range(20):
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    rows = phrases.similar(table(spark, texts), limit=limit).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    found = classes(rows)
+    wanted = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if root[a] == root[b]}
+    assert found <= wanted and {(k, 90 + k) for k in range(3)} <= found and len(found & wanted) >= 0.9 * len(wanted)
+    links = {r.doc_id: r.links for r in rows}
+    assert all(links[k] <= sum(k in p for p in near) for k in links) and all((links[k] > 0) == any(k in p for p in found) for k in links)
 
 
 def test_phrases_of_nasty_rows(spark):
-    found = {(r.doc_a, r.doc_b) for r in phrases.similar(nasty(spark)).collect()}
-    assert {(1, 2), (6, 7)} <= found
+    docs = nasty(spark)
+    rows = phrases.similar(docs).collect()
+    assert {(1, 2), (6, 7)} <= classes(rows)
+    assert len(rows) == docs.where("doc_id IS NOT NULL").select("doc_id", "text").distinct().count()
     assert phrases.similar(none(spark)).count() == 0
 
 
+def test_many_near_copies_make_few_pairs(spark):
+    words = [w for t in prose(60, 40, 23, 4000) for w in t.split()]
+    texts = [" ".join([*words[: k % 600], f"new{k}", *words[k % 600 + 1 : 600]]) for k in range(800)]
+    prints = phrases.fingerprints(table(spark, texts))
+    assert phrases.candidates(prints).count() <= 800 * phrases.KEYS / phrases.MET
+    assert {r.class_id for r in phrases.similar(table(spark, texts)).collect()} == {0}
+
+
 @pytest.mark.parametrize("chunk", [97, 1 << 20])
 def test_warc_round_trip(spark, tmp_path, chunk):
     inner = "WARC/1.1\r\nContent-Length: 5\r\n\r\nfalse\r\n\r\n"
@@ -194,6 +228,6 @@ def test_edited_copies_are_similar(spark):
     words = [w for t in prose(200, 40, 22, 4000) for w in t.split()]
     base = [" ".join(r.choice(words) for _ in range(300)) for _ in range(40)]
     edited = [" ".join(r.choice(words) if k % 20 == 10 else w for k, w in enumerate(t.split())) for t in base]
-    found = {(x.doc_a, x.doc_b) for x in phrases.similar(table(spark, base + edited)).collect()}
+    found = classes(phrases.similar(table(spark, base + edited)).collect())
     made = {(k, k + len(base)) for k in range(len(base))}
     assert len(found & made) >= 0.9 * len(made) and len(found - made) <= 0.1 * len(made)
