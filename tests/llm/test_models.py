@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from cases import nasty, none, prose, table
@@ -24,44 +26,98 @@ def labelled(n: int, seed: int) -> pa.Table:
     return pa.table({"_text": texts, "toxic": toxic, "quality": [1 - t for t in toxic]})
 
 
+def tables(spark, rows: pa.Table, *columns: str):
+    docs = table(spark, rows.column("_text").to_pylist())
+    labels = spark.createDataFrame([(k, *r) for k, r in enumerate(zip(*(rows.column(c).to_pylist() for c in columns)))], "doc_id bigint, " + ", ".join(f"{c} int" for c in columns))
+    return docs, labels
+
+
 def test_chain_on_held_out_rows(spark):
     rows = labelled(600, 1)
-    chain = toxicity.train(rows.slice(0, 400), ["toxic"])
-    assert chain.names == ["toxic_terms", "toxic_repeated", "toxic"]
-    docs = table(spark, rows.column("_text").to_pylist())
+    docs, labels = tables(spark, rows, "toxic", "quality")
+    chain = toxicity.fit(docs, toxicity.kinds(labels.where("doc_id < 400")), toxicity.KINDS)
+    assert chain.names == ["toxic_prose", "toxic_junk", "toxic"]
     found = {r.doc_id: r for r in toxicity.toxicity(docs, chain).collect()}
     held = range(400, 600)
     right = sum(found[k].toxic == bool(rows.column("toxic")[k].as_py()) for k in held)
     assert right >= 0.97 * len(held)
-    kept = {r.doc_id for r in toxicity.keep_clean(docs, chain).collect()}
-    assert kept == {k for k, r in found.items() if not r.toxic}
-
-
-def test_fit_is_like_local_training(spark):
-    rows = labelled(200, 4)
-    docs = table(spark, rows.column("_text").to_pylist())
-    labels = spark.createDataFrame([(k, t) for k, t in enumerate(rows.column("toxic").to_pylist())], "doc_id bigint, toxic int")
-    near, far = toxicity.train(rows, ["toxic"]), toxicity.fit(docs, labels)
-    texts = pa.array(labelled(50, 5).column("_text").to_pylist())
-    assert toxicity.probabilities(far, texts) == pytest.approx(toxicity.probabilities(near, texts), abs=1e-6)
-
-
-def test_later_categories_take_earlier_probabilities():
-    rows = labelled(300, 2)
-    rows = rows.append_column("mild", rows.column("toxic"))
-    chain = toxicity.train(rows, ["mild", "toxic"])
-    assert [len(w) for w in chain.weights] == [chain.width + 1, chain.width + 2]
-    p = toxicity.probabilities(chain, pa.array(["hatefulword here"]))
-    without = chain.weights[1].copy()
-    without[chain.width] = 0
-    chain.weights[1] = without
-    assert toxicity.probabilities(chain, pa.array(["hatefulword here"]))[1][0] != p[1][0]
+    renamed = docs.selectExpr("doc_id AS Id", "text AS Text", "lang", "source")
+    assert {r.Id for r in toxicity.keep_clean(renamed, chain).collect()} == {k for k, r in found.items() if not r.toxic}
+
+
+def brute_logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The same descent, written out for a dense matrix."""
+    n, d = x.shape
+    w, m, v = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1)
+    rate = min(max(y.mean(), 1e-4), 1 - 1e-4)
+    w[d] = math.log(rate / (1 - rate))
+    if y.min() == y.max():
+        return w
+    for k in range(1, 151):
+        e = (1 / (1 + np.exp(-(x @ w[:d] + w[d]))) - y) / n
+        g = np.append(x.T @ e + w[:d] / n, e.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w = w - 0.2 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9) * min(1, 3 * (1 - k / 151))
+    return w
+
+
+def brute_chain(texts: list[str], folds: list[int], y: dict[str, list[int]], new: list[str]) -> np.ndarray:
+    """Probabilities of the new texts by a chain whose features are chosen from the training rows of each fold alone."""
+    features = lambda t: Counter(toxicity.feature_places(pa.array([t]))[0].tolist())
+    seen, main = [features(t) for t in texts], list(y.values())[-1]
+
+    def best(rows: list[int]) -> list[int]:
+        bad, good = [k for k in rows if main[k]], [k for k in rows if not main[k]]
+        scores = {}
+        for place in set().union(*[seen[k] for k in rows]):
+            a, b = sum(place in seen[k] for k in bad), sum(place in seen[k] for k in good)
+            if a + b >= 3:
+                q = (a + b) / (len(bad) + len(good))
+                scores[place] = (a / len(bad) - b / len(good)) / math.sqrt(max(q * (1 - q), 1e-12) * (1 / len(bad) + 1 / len(good)))
+        return sorted((p for p, z in scores.items() if abs(z) >= toxicity.MIN_Z), key=lambda p: (-abs(scores[p]), p))
+
+    matrix = lambda bags, places, more: np.array([[math.log1p(b[p]) for p in places] + list(m) for b, m in zip(bags, more)]).reshape(len(bags), -1)
+    everyone = list(range(len(texts)))
+    chosen, all_chosen = {f: best([k for k in everyone if folds[k] != f]) for f in set(folds)}, best(everyone)
+    earlier, out, later = [[] for _ in texts], [], [[] for _ in new]
+    bags = [features(t) for t in new]
+    for label in y.values():
+        label = np.array(label, dtype=float)
+        held = np.zeros(len(texts))
+        for f in set(folds):
+            inside, outside = [k for k in everyone if folds[k] != f], [k for k in everyone if folds[k] == f]
+            w = brute_logistic(matrix([seen[k] for k in inside], chosen[f], [earlier[k] for k in inside]), label[inside])
+            held[outside] = 1 / (1 + np.exp(-(matrix([seen[k] for k in outside], chosen[f], [earlier[k] for k in outside]) @ w[:-1] + w[-1])))
+        w = brute_logistic(matrix(seen, all_chosen, earlier), label)
+        p = 1 / (1 + np.exp(-(matrix(bags, all_chosen, later) @ w[:-1] + w[-1])))
+        out.append(p)
+        earlier, later = [[*e, h] for e, h in zip(earlier, held)], [[*e, q] for e, q in zip(later, p)]
+    return np.array(out)
+
+
+def test_chain_is_like_brute_force(spark):
+    """Three label columns of which the last two depend on the first and on words of their own."""
+    rows = labelled(150, 4)
+    r = random.Random(8)
+    rude = [int(r.random() < 0.3) for _ in range(150)]
+    texts = [t + " rudeword grumble" * k for t, k in zip(rows.column("_text").to_pylist(), rude)]
+    threat = [int(a and r.random() < 0.5) for a in rude]
+    texts = [t + " threatening" * k for t, k in zip(texts, threat)]
+    toxic = [int(a or b) for a, b in zip(rude, rows.column("toxic").to_pylist())]
+    all_rows = pa.table({"_text": texts, "rude": rude, "threat": threat, "toxic": toxic})
+    docs, labels = tables(spark, all_rows, "rude", "threat", "toxic")
+    chain = toxicity.fit(docs, labels, ("rude", "threat", "toxic"))
+    folds = [x[0] for x in docs.orderBy("doc_id").selectExpr(f"CAST(pmod(xxhash64(text), {toxicity.FOLDS}) AS INT)").collect()]
+    new = labelled(20, 5).column("_text").to_pylist() + ["rudeword here", "a threatening grumble", ""]
+    expected = brute_chain(texts, folds, {c: all_rows.column(c).to_pylist() for c in ("rude", "threat", "toxic")}, new)
+    assert toxicity.probabilities(chain, pa.array(new)) == pytest.approx(expected, abs=1e-6)
+    assert [len(w) for w in chain.weights] == [chain.width + 1, chain.width + 2, chain.width + 3]
 
 
 def test_chain_without_labels_and_on_nasty_rows(spark):
     docs = nasty(spark)
     labels = spark.createDataFrame([(1, 1, 0), (2, None, None), (None, 1, 1), (6, 0, 1), (6, 0, 1)], "doc_id bigint, quality int, toxic int")
-    for chain in (toxicity.fit(docs, labels), toxicity.fit(docs, labels.limit(0)), toxicity.fit(none(spark), labels)):
+    for chain in (toxicity.fit(docs, toxicity.kinds(labels), toxicity.KINDS), toxicity.fit(docs, labels.limit(0)), toxicity.fit(none(spark), labels)):
         assert toxicity.toxicity(docs, chain).count() == docs.count()
         assert toxicity.toxicity(none(spark), chain).count() == 0
         assert toxicity.keep_clean(docs, chain).columns == docs.columns
@@ -71,7 +127,7 @@ def test_chain_without_labels_and_on_nasty_rows(spark):
 def test_labels_of_the_test_tables(spark):
     docs, labels = (spark.read.parquet(str(DATA / "sf0.1" / f"{t}.parquet")) for t in ("documents", "labels"))
     learnt, held = labels.where("doc_id % 3 <> 0"), labels.where("doc_id % 3 = 0")
-    got = toxicity.toxicity(docs, toxicity.fit(docs, learnt)).selectExpr("doc_id", "toxic AS called").join(held, "doc_id")
+    got = toxicity.toxicity(docs, toxicity.fit(docs, toxicity.kinds(learnt), toxicity.KINDS)).selectExpr("doc_id", "toxic AS called").join(held, "doc_id")
     # Some junk is labelled toxic without a toxic word in it; what is asked is to find the toxic prose.
     clean, toxic, caught, accused = got.selectExpr("count_if(toxic = 0)", "count_if(toxic = 1 AND quality = 1)", "count_if(toxic = 1 AND quality = 1 AND called)", "count_if(toxic = 0 AND called)").first()
     assert caught >= 0.9 * toxic and accused <= 0.005 * clean
@@ -118,6 +174,24 @@ def test_quality_is_like_plain_python(spark):
     assert kept == sorted(r.doc_id for r in found if r.keep)
 
 
+def test_hosts_and_paths_of_urls(spark):
+    urls = {"http://A.example.org/x/y?q": ("a.example.org", "/x"), "https://u:p@h:80": ("h", "/"), "http://h/": ("h", "/"), "no url": (None, None), None: (None, None), "ftp://H/a#b": ("h", "/a")}
+    rows = quality.sites_of_urls(spark.createDataFrame([(u, "taken") for u in urls], "url string, host string")).collect()
+    assert {r.url: (r.host, r.path) for r in rows} == urls and all(r.host_input == "taken" for r in rows)
+
+
+@pytest.mark.parametrize("least", ["-1", "10m"])
+def test_sites_may_be_joined_either_way(spark, least):
+    docs, labels = (spark.read.parquet(str(DATA / "sf0.001" / f"{t}.parquet")) for t in ("documents", "labels"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    try:
+        kept = quality.keep_good(docs, quality.fit(docs, labels)).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert kept == quality.quality(docs, quality.fit(docs, labels)).where("keep").count()
+
+
 def test_quality_of_nasty_rows(spark):
     docs = nasty(spark)
     labels = spark.createDataFrame([(1, 1), (4, 0), (6, None)], "doc_id bigint, quality int")
@@ -131,7 +205,7 @@ def test_quality_of_nasty_rows(spark):
 
 def test_toxic_prose_is_found_in_each_language(spark):
     docs, labels = (spark.read.parquet(str(DATA / "sf0.1" / f"{t}.parquet")) for t in ("documents", "labels"))
-    got = toxicity.toxicity(docs, toxicity.fit(docs, labels.where("doc_id % 3 <> 0"))).where("toxic").select("doc_id", "toxic")
+    got = toxicity.toxicity(docs, toxicity.fit(docs, toxicity.kinds(labels.where("doc_id % 3 <> 0")), toxicity.KINDS)).where("toxic").select("doc_id", "toxic")
     held = labels.where("doc_id % 3 = 0 AND toxic = 1 AND quality = 1").select("doc_id").join(docs.select("doc_id", "lang"), "doc_id")
     for r in held.join(got, "doc_id", "left").groupBy("lang").agg({"*": "count", "toxic": "count"}).toDF("lang", *"ab").collect():
         few, many = sorted((r.a, r.b))

@@ -1,14 +1,11 @@
-"""The registered queries: those with SQL against it, the pipeline stage by stage."""
+"""The registered queries: those with SQL against it, the others by what they cover."""
 
 from __future__ import annotations
 
 import pytest
 from helpers import DATA, same_as_sql
-from test_sets import brute_pairs
 
-import corpus_pipeline
 from tidegrid.llm.queries import ORACLES, QUERIES
-from tidegrid.llm.shared import stored
 
 SMALL = str(DATA / "sf0.001")
 
@@ -18,20 +15,12 @@ def test_query_is_like_its_sql(spark, name):
     assert same_as_sql(spark, QUERIES[name], ORACLES[name], SMALL)
 
 
-def test_stages(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    columns = docs.columns
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = docs
-        docs = stored(spark, stage(spark, before, SMALL))
-        assert docs.columns == columns and 0 < docs.count() <= before.count()
-        if name == "near_duplicates":
-            rows = [(r.doc_id, r.text) for r in before.collect()]
-            root = {k: k for k, _ in rows}
-            for _ in range(20):
-                for a, b in brute_pairs(rows, 3, 0.6):
-                    root[a] = root[b] = min(root[a], root[b])
-            assert sorted(r.doc_id for r in docs.collect()) == sorted(k for k, r in root.items() if k == r)
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
-    words = {r.doc_id: len((r.text or "").split()) for r in docs.collect()}
-    assert {r.doc_id: r.n for r in packed.groupBy("doc_id").agg({"n_tokens": "sum"}).toDF("doc_id", "n").collect()} == {k: n for k, n in words.items() if n}
+@pytest.mark.parametrize(("name", "table", "columns"), [
+    ("op1_media", "pages", {"page_id", "status", "thumb_hash"}), ("op2_quality", "documents", {"doc_id", "quality", "keep"}), ("op3_toxicity", "documents", {"doc_id", "p_toxic_prose", "toxic"}),
+    ("op4_packing", "documents", {"doc_id", "bin", "n_tokens"}), ("op6_pieces", "documents", {"doc_id", "ids", "decoded"}), ("op9_phrases", "documents", {"doc_id", "class_id", "links"}),
+])
+def test_query_without_sql_covers_its_table(spark, name, table, columns):
+    got = QUERIES[name](spark, SMALL)
+    assert columns <= set(got.columns)
+    key = "page_id" if table == "pages" else "doc_id"
+    assert {r[0] for r in got.select(key).collect()} == {r[0] for r in spark.read.parquet(f"{SMALL}/{table}.parquet").select(key).collect()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import random
+import struct
 from collections import defaultdict
 from pathlib import Path
 
@@ -211,6 +212,67 @@ def test_thumbnails_are_block_means():
                 assert abs(int(value) - np.mean(list(block))) <= 2.01
     colour, colour_thumbs, status = media.thumbnails(pictures.jpegs(pa.array(texts), np.ones(len(texts), dtype=np.int64)))
     assert set(status) == {"ok"} and all(p.components == 3 for p in colour)
+    for text, picture, thumb in zip(texts, colour, colour_thumbs):
+        data, across = text.encode(), picture.width // 16
+        assert thumb.shape == (picture.height // 8, picture.width // 8)
+        for k in range(-(-len(data) // 64)):  # four blocks to a square of sixteen pixels
+            square, part = divmod(k, 4)
+            value = thumb[square // across * 2 + part // 2, square % across * 2 + part % 2]
+            assert abs(int(value) - np.mean(list(data[64 * k : 64 * k + 64].ljust(64, b" ")))) <= 2.01
+
+
+def test_a_picture_written_by_hand():
+    """16 x 8 pixels, grey: two blocks, of DC 20 and 20 - 31 steps of 8, by a code of one DC size and one of no AC value."""
+    raw = bytes.fromhex("ffd8 ffdb0043 00" + "08" * 64 + "ffc0000b 08 0008 0010 01 011100" + "ffc40014 00 01" + "00" * 15 + "05" + "ffc40014 10 01" + "00" * 15 + "00" + "ffda0008 01 0100 003f00")
+    bits = "0" + "10100" + "0" + "0" + "00000" + "0"
+    raw += int(bits.ljust(16, "1"), 2).to_bytes(2, "big") + b"\xff\xd9"
+    parsed, thumbs, status = media.thumbnails([raw])
+    assert status == ["ok"] and (parsed[0].width, parsed[0].height, parsed[0].components) == (16, 8, 1)
+    assert thumbs[0].tolist() == [[128 + 20, 128 + 20 - 31]]
+
+
+def test_hashes_of_thumbnails():
+    r = np.random.default_rng(2)
+    for tall, wide in ((1, 1), (3, 20), (40, 33)):
+        thumb = r.integers(0, 256, (tall, wide)).astype(np.uint8)
+        bits = ""
+        cut = lambda k, n, parts: range(k * n // parts, max(k * n // parts + 1, (k + 1) * n // parts))
+        for y in range(8):
+            means = [np.mean([[thumb[i, j] for j in cut(x, wide, 9)] for i in cut(y, tall, 8)]) for x in range(9)]
+            bits += "".join("1" if a < b else "0" for a, b in zip(means, means[1:]))
+        assert media.difference_hash(thumb) % 2**64 == int(bits, 2)
+    texts = ["some text " * 40, "some text " * 40, "other words " * 40]
+    columns = media.described(pictures.jpegs(pa.array(texts), np.zeros(3, dtype=np.int64)))
+    a, b, c = columns[5].to_pylist()
+    assert a == b != c
+
+
+def unigram_model(path: Path, pieces_: list[tuple[str, float]]) -> None:
+    """A model file of the unigram type, written field by field."""
+    varint = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+    part = lambda field, body: varint(field << 3 | 2) + varint(len(body)) + body
+    one = lambda piece, score, kind: part(1, part(1, piece.encode()) + b"\x15" + struct.pack("<f", score) + b"\x18" + varint(kind))
+    raw = one("<unk>", 0.0, 2) + one("<s>", 0.0, 3) + one("</s>", 0.0, 3) + b"".join(one(p, s, 1) for p, s in pieces_)
+    path.write_bytes(raw + part(2, b"\x18\x01") + part(3, part(1, b"identity") + b"\x18\x01\x20\x00\x28\x01"))
+
+
+def test_unigram_models_take_the_best_segmentation(spark, tmp_path):
+    r = random.Random(6)
+    known = {"".join(r.choice("abcd") for _ in range(r.randint(1, 5))) for _ in range(60)} | set("abcd") | {"▁", "▁a", "▁ab", "▁abc"}
+    scores = {p: -r.uniform(1, 12) for p in sorted(known)}
+    unigram_model(tmp_path / "u.model", list(scores.items()))
+    library = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "u.model"))
+    texts = ["".join(r.choice("abcd ") for _ in range(r.randint(0, 40))) for _ in range(200)] + ["abxcd", "xx yy", ""]
+    rows = {x.doc_id: x.ids for x in pieces.encode(table(spark, texts), str(tmp_path / "u.model")).collect()}
+    cost = lambda ids: sum(library.get_score(i) for i in ids)
+    for k, text in enumerate(texts):
+        assert rows[k] == library.encode(text) or "x" not in text and cost(rows[k]) == pytest.approx(cost(library.encode(text)))
+        marked = "▁" + text.replace(" ", "▁")
+        if text and "x" not in text and "y" not in text:  # brute force: the best score of all segmentations
+            best = [0.0]
+            for e in range(1, len(marked) + 1):
+                best.append(max(best[s] + scores[marked[s:e]] for s in range(max(0, e - 6), e) if marked[s:e] in scores))
+            assert cost(rows[k]) == pytest.approx(best[-1], abs=1e-3)
 
 
 def test_media_of_bad_pictures(spark):

@@ -278,6 +278,11 @@ class Batches:
         sizes = self.n[places]
         ids = self.flat[ragged(self.at[places], sizes)]
         bounds = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(starts, offsets)]
+        if not self.model.byte_ids and len(ids):  # unknown characters side by side are one piece, in several words too
+            again = np.append(False, (ids[1:] == self.model.unknown) & (ids[:-1] == self.model.unknown))
+            again[bounds[:-1][bounds[:-1] < len(ids)]] = False
+            bounds = np.concatenate([[0], np.cumsum(~again)])[bounds]
+            ids = ids[~again]
         return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
