@@ -84,6 +84,26 @@ def test_groups_are_like_brute_force(spark, seed, limit, t, block):
     assert len(found) == len(texts) and {tuple(r) for r in found} == brute_groups(list(enumerate(texts)), 3, t)
 
 
+@pytest.mark.parametrize(("seed", "limit", "t", "block"), [(1, 2_000_000, 0.6, 512), (2, 0, 0.6, 2), (4, 5, 0.3, 3), (3, 2_000_000, 0.9, 4)])
+def test_crowds_are_like_brute_force(spark, seed, limit, t, block):
+    """Lists of more than 2 classes make crowds: counts, classes and pairs stay the same."""
+    texts = near_copies(seed)
+    found = jaccard.groups(table(spark, texts), 3, t, limit, block, 2).collect()
+    assert len(found) == len(texts) and {tuple(r) for r in found} == brute_groups(list(enumerate(texts)), 3, t)
+    joined = jaccard.jaccard_join(table(spark, texts), 3, t, limit, 2).collect()
+    assert len(joined) == len(set(joined)) and {(r.doc_a, r.doc_b): r.jaccard for r in joined} == pytest.approx(brute_pairs(list(enumerate(texts)), 3, t))
+
+
+def test_hot_lists_list_no_pairs(spark):
+    """What the index leaves of a large group of near copies follows the texts, not their square."""
+    words = [f"w{k}" for k in range(120)]
+    texts = [" ".join([*words[:k % 110], f"new{k}", *words[k % 110 + 1:]]) for k in range(600)]
+    docs = jaccard.keyed(table(spark, texts))
+    members, order = jaccard.classed(docs, 3, 2_000_000)
+    assert jaccard.candidates(docs, 3, 0.6, 8, order).count() < 600 * 20
+    assert {(r.class_id, r.links) for r in jaccard.groups(table(spark, texts)).collect()} == {(0, 599)}
+
+
 def test_groups_of_nasty_rows(spark):
     docs = nasty(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
