@@ -6,13 +6,13 @@ from collections import defaultdict
 
 import pyarrow as pa
 import sentencepiece
-from cases import nasty, none
+from cases import nasty, none, table
 from helpers import DATA
 from test_models import brute_quality
 from test_sets import brute_groups, brute_spans, folded
 
 import corpus_pipeline
-from tidegrid.llm import pieces, quality, suffixes, toxicity
+from tidegrid.llm import jaccard, pieces, quality, suffixes, toxicity
 
 SMALL = str(DATA / "sf0.001")
 
@@ -60,3 +60,19 @@ def test_run_on_nasty_and_on_empty_tables(spark, tmp_path):
             assert kept.columns == docs.columns
         got = corpus_pipeline.run(spark, path).collect()
         assert {r.doc_id for r in got} == {r.doc_id for r in kept.collect() if r.text} and (name == "empty") == (not got)
+
+
+def test_near_duplicate_stage_lists_no_square(spark, monkeypatch):
+    """Of many near copies one stays, and what the index leaves follows the texts, not their pairs."""
+    words = [f"w{k}" for k in range(120)]
+    texts = [" ".join([*words[:k % 110], f"new{k}", *words[k % 110 + 1:]]) for k in range(400)]
+    left, index = [], jaccard.candidates
+
+    def counted(*args):
+        left.append(found := index(*args))
+        return found
+
+    monkeypatch.setattr(jaccard, "candidates", counted)
+    kept = corpus_pipeline.near_duplicate_stage(spark, table(spark, [*texts, "a text like no other one", ""]), SMALL)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 400, 401]
+    assert len(left) == 1 and left[0].count() < 400 * 20
