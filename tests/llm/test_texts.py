@@ -89,6 +89,21 @@ def test_similar_documents_are_found(spark, limit):
     assert all(links[k] <= sum(k in p for p in near) for k in links) and all((links[k] > 0) == any(k in p for p in found) for k in links)
 
 
+def test_costs_count_every_signature(spark):
+    """More rows than a sample or one chunk of a task has; each value at each place counts."""
+    n = 40_000
+    found = (np.random.default_rng(4).random((n, phrases.WIDTH)) ** 6 * 65536).astype(np.uint16)
+    found[-1] = 65535
+    blobs = [pa.array([x.tobytes() for x in (part & 255 if low else part >> 8).astype(np.uint8)]) for low, part in ((True, found), (False, found))]
+    rows = spark.createDataFrame(pa.table(blobs, names=["signature", "upper"])).coalesce(2)
+    known = phrases.counted(rows, n)
+    for place in range(phrases.WIDTH):
+        values, times = np.unique(found[:, place], return_counts=True)
+        bits = np.minimum(np.rint(16 * np.log2(n / times)), 255)
+        assert (known[place][values] == bits).all() and known[place].any()
+    assert phrases.counted(rows.limit(0), 0).shape == (phrases.WIDTH, 65536)
+
+
 def test_phrases_of_nasty_rows(spark):
     docs = nasty(spark)
     rows = phrases.similar(docs).collect()
