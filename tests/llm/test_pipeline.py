@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from cases import nasty, none, table
@@ -76,3 +77,45 @@ def test_near_duplicate_stage_lists_no_square(spark, monkeypatch):
     kept = corpus_pipeline.near_duplicate_stage(spark, table(spark, [*texts, "a text like no other one", ""]), SMALL)
     assert sorted(r.doc_id for r in kept.collect()) == [0, 400, 401]
     assert len(left) == 1 and left[0].count() < 400 * 20
+
+
+def test_near_duplicate_stage_cuts_and_moves_no_more_than_it_needs(spark, monkeypatch):
+    """Texts are cut into words twice, and again only where they may have a near copy; no pair of the index moves as often as lists have it."""
+    cut, moved = [], defaultdict(list)
+    words = jaccard.folded_words
+
+    def counted(texts):
+        cut.append(len(texts))
+        return words(texts)
+
+    def here(df, run, schema):
+        batches = list(run(iter(df.toArrow().to_batches())))
+        moved[schema] += [tuple(r.values()) for b in batches for r in b.to_pylist()]
+        return spark.createDataFrame(moved[schema] if len(batches) else [], schema)
+
+    monkeypatch.setattr(jaccard, "folded_words", counted)
+    monkeypatch.setattr(jaccard, "in_arrow", here)
+    copies = [" ".join([*(f"w{k}" for k in range(120)), f"new{k}"]) for k in range(20)]
+    alone = [" ".join(f"x{k}y{i}" for i in range(30)) for k in range(300)]
+    kept = corpus_pipeline.near_duplicate_stage(spark, table(spark, [*copies, *alone]), SMALL)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, *range(20, 320)]
+    assert sum(cut) == 2 * 320 + 20
+    pairs = moved["a bigint, b bigint, size bigint"]
+    assert len(pairs) == len(set(pairs)) == 190
+
+
+def test_places_are_found_in_a_few_steps_in_a_table_of_any_size():
+    r = np.random.default_rng(5)
+    for n in (0, 1, 50, 1 << 20):
+        for kind in (np.uint32, np.uint64):
+            keys = np.unique(r.integers(0, np.iinfo(kind).max, n, dtype=kind, endpoint=True))
+            asked = np.concatenate([keys, r.integers(0, np.iinfo(kind).max, 1000, dtype=kind), np.array([0, np.iinfo(kind).max], dtype=kind)])
+            places = jaccard.Places(keys)
+            found, at = places.of(asked)
+            assert sorted(found.tolist()) == np.flatnonzero(np.isin(asked, keys)).tolist() and (keys[at] == asked[found]).all()
+            assert np.diff(places.first).max() <= 16
+
+
+def test_marked_rows_are_the_same_sent_or_met(spark):
+    rows = [sorted(map(str, jaccard.one_of_each(nasty(spark), marks=marks).collect())) for marks in (0, 1 << 19)]
+    assert rows[0] == rows[1] and 0 < len(rows[0]) < nasty(spark).count()
