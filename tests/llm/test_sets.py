@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import pytest
 from cases import LONG, SCHEMA, nasty, none, prose, table
+from pyspark.sql import functions as F
 
 from tidegrid.llm import jaccard, suffixes
 from tidegrid.llm.columnar import _FOLD
@@ -104,6 +105,34 @@ def test_hot_lists_list_no_pairs(spark):
     assert {(r.class_id, r.links) for r in jaccard.groups(table(spark, texts)).collect()} == {(0, 599)}
 
 
+def test_sketches_keep_similar_pairs(spark):
+    """No pair is lost by its sketches, and of unlike ones nearly none stays to have its sets moved."""
+    r = random.Random(5)
+    texts = [" ".join(r.choices([f"w{k}" for k in range(400)], k=n)) for n in (1, 2, 5, 30, 80, 200, 900) for _ in range(4)]
+    texts += [" ".join(x.split()[:-2] + ["new"]) for x in texts]
+    docs = jaccard.keyed(table(spark, texts))
+    members = jaccard.classed(docs, 3, 2_000_000)[0].collect()
+    cls, sets = {m.doc_id: m.cls for m in members}, [grams(x, 3) for x in texts]
+    pairs = {(cls[i], cls[j]): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(texts)) for j in range(i) if cls[i] != cls[j]}
+    kept = {tuple(x) for x in jaccard.not_ruled_out(spark.createDataFrame(list(pairs), "a bigint, b bigint"), docs, 3, 0.6).collect()}
+    like = {p for p, x in pairs.items() if x >= 0.6}
+    assert len(like) > 10 and like <= kept and len(kept - like) < len(pairs) / 50
+
+
+def test_a_crowd_moves_each_set_seldom(spark):
+    crowded = spark.range(600).selectExpr("id AS cls", "100 AS size", "0L AS crowd")
+    assert jaccard.met_in_crowds(crowded, 0.6, 100).count() <= 600 * 2
+    # Long sets lie in smaller blocks.
+    assert jaccard.met_in_crowds(crowded.withColumn("size", F.lit(1 << 17)), 0.6, 100).where("side = 0").groupBy("place").count().count() > 20
+
+
+@pytest.mark.parametrize("limit", [0, 80])
+def test_more_moves_than_are_broadcast(spark, limit):
+    """Sets that go to more places than are sent to the scan, with their documents known to it or not."""
+    texts = near_copies(6)
+    assert {tuple(r) for r in jaccard.groups(table(spark, texts), 3, 0.6, limit, 1, 2).collect()} == brute_groups(list(enumerate(texts)), 3, 0.6)
+
+
 def test_groups_of_nasty_rows(spark):
     docs = nasty(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
