@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 
 import pytest
-from helpers import DATA
+from helpers import DATA, same_as_sql
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -110,6 +110,16 @@ def test_a_rate_moves_points_once(spark):
     assert all("ts#" not in line for line in text.splitlines() if "hashpartitioning(metric" in line)
 
 
+def test_rates_take_as_many_partitions_as_the_input_is_large(spark, monkeypatch):
+    """However many points Spark would put together, a task holds but a slice of them."""
+    from tidegrid.operators import rate
+
+    monkeypatch.setattr(rate, "SLICE", 5_000)
+    assert rate.parted(tables.prices(spark, str(DATA / "sf0.001"))).df.rdd.getNumPartitions() > 20
+    for name in ("rate_sales", "rate_to_count_inferred"):
+        assert same_as_sql(spark, catalog.QUERIES[name], catalog.ORACLES[name], str(DATA / "sf0.001"))
+
+
 def test_times_are_read_the_same_in_any_zone(spark):
     first = tables.clicks(spark, str(DATA / "sf0.001")).df.agg(F.min("ts")).first()[0]
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
